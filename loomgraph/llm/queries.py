@@ -11,6 +11,7 @@ from loomgraph.llm.byte_bpe import token_digests
 from loomgraph.llm.common import table
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import quality_verdicts
+from loomgraph.llm.url_filter import example_list, url_verdicts
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_verdicts(pages, example_list(pages))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
