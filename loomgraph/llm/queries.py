@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.byte_bpe import token_digests
 from loomgraph.llm.common import table
+from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import quality_verdicts
+from loomgraph.llm.secrets import secret_spans
 from loomgraph.llm.url_filter import example_list, url_verdicts
 
 
@@ -18,6 +20,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -27,15 +33,21 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, example_list(pages))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
