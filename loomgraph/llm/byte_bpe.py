@@ -169,8 +169,10 @@ class ByteBPE:
             self.older, self.known, self.plain = (self.known, self.plain), {}, {}
             new = set(tokens)
         known, plain = self.known, self.plain
-        for t in new.intersection(self.older[0]):
-            known[t], plain[t] = self.older[0][t], self.older[1][t]
+        decimals, parts = self.older
+        for t in new:
+            if t in decimals:
+                known[t], plain[t] = decimals[t], parts[t]
         new = list(new.difference(known))
         pieces = [t.encode("utf-8", "replace") for t in new]
         for token, piece, at in zip(new, pieces, self.perfect.index(pieces).tolist(), strict=True):
