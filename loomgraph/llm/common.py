@@ -18,6 +18,9 @@ MIN_SIMILARITY = 75
 #: Rows of one Arrow batch. Texts reach megabytes, so a batch stays short.
 BATCH_ROWS = 256
 
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 200_000
+
 #: Entries that a worker's table of word hashes holds before it starts anew.
 WORD_CACHE = 200_000
 
@@ -26,14 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints; one of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the cluster's checkpoint folder; a lost executor costs nothing of it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def by_ids(df: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """df joined (left_semi or left_anti) with the distinct doc_ids of ids, which must be cheap to read twice.
+
+    Up to BROADCAST_IDS of them, 8 bytes each, are counted first and then broadcast, so that texts stay where they
+    are; more of them are shuffled.
+    """
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[id_col].cast("long") == F.col("__id"), how)
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """df.mapInArrow with fn(column as list, ...) -> {column: list or array}; fn keeps or changes the number of rows.
 

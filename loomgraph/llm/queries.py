@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.byte_bpe import token_digests
 from loomgraph.llm.common import table
+from loomgraph.llm.decontaminate import DECONTAMINATE_SQL, contained_items
 from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import quality_verdicts
@@ -33,6 +34,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, example_list(pages))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
