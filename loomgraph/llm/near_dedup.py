@@ -6,10 +6,13 @@
    wanted. Order all (coordinate, value) pairs from rare to frequent: two signatures that share T of K must share
    one of their K - T + 1 rarest pairs (prefix merging). So a class is posted under those alone, and lists of
    boilerplate, being frequent, are not merged for documents that have rarer coordinates.
-3. In each list every class meets the list's smallest id; pairs that agree in T coordinates are confirmed on the
-   full sets, and the links' components are found. Lists that lie in one component are skipped: whatever they
-   hold is joined already (skip merging). In the others, classes outside the list's largest component meet the
-   rest of it. Thus thousands of near copies cost one pair each, not all pairs among them.
+3. In each list every class meets the list's leader, its most often posted class; pairs that agree in T coordinates
+   are confirmed on the full sets, and the links' components are found. Lists that lie in one component are skipped:
+   whatever they hold is joined already (skip merging).
+4. Short lists that are left give their pairs across components. In long ones, the classes around one component are
+   put together, and shingles that many of them have are told from rare ones. Two classes that share no rare shingle
+   have at most their frequent shingles in common; only where that many could reach the threshold, or where a rare
+   shingle is shared, are they compared. This loses no link, and thousands of near copies cost about one pair each.
 
 At K = 64 and T = 32 a pair of similarity 0.75 is missed with a chance near 3 in a million; the test compares
 with brute force.
@@ -68,8 +71,34 @@ def _postings(classes: DataFrame) -> DataFrame:
     late = F.coalesce("late", F.expr("array()").cast("array<long>"))
     prefix = F.slice(F.concat(F.array_except("keys", late), late), 1, COORDINATES - MATCHES + 1)
     posts = classes.join(known, "doc_id", "left").select("doc_id", "n", F.explode(prefix).alias("key"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1")
-    return posts.join(lists, "key")
+    lists = posts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    posts = checkpointed(posts.join(lists, "key"))
+    often = posts.join(posts.groupBy("doc_id").agg(F.sum("size").alias("often")), "doc_id")
+    leaders = often.groupBy("key").agg(F.max_by("doc_id", F.struct("often", -F.col("doc_id"))).alias("leader"))
+    return posts.join(leaders, "key")
+
+
+def _around(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare in long lists: rows (top, doc_id, n, part) are the classes around component top."""
+    near = checkpointed(open_.select("top", "doc_id", "n", "part").distinct())
+    texts = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def run(ids: list, texts: list) -> dict:
+        return {"doc_id": ids, "shingles": [shingle_set(t).view(np.int64) for t in texts]}
+
+    sets = map_columns(texts, run, "doc_id long, shingles array<long>")
+    each = checkpointed(near.join(sets, "doc_id").select("top", "doc_id", "n", "part", F.explode("shingles").alias("shingle")))
+    counts = each.groupBy("top", "shingle").agg(F.count("*").alias("freq"), F.min("doc_id").alias("doc_id")).where(F.col("freq") <= FREQUENT)
+    shared = each.join(counts.where("freq > 1").select("top", "shingle"), ["top", "shingle"])
+    rare = counts.where("freq = 1").select("top", "doc_id").union(shared.select("top", "doc_id")).groupBy("top", "doc_id").agg(F.count("*").alias("rare"))
+    near = near.join(rare, ["top", "doc_id"], "left").select("top", "doc_id", "n", "part", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"))
+
+    apart = F.expr("x.top = y.top AND x.part <> y.part AND y.part <> y.top AND (x.part = x.top OR x.doc_id < y.doc_id)") & _similar_size("x.n", "y.n")
+    pair = (F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    enough = F.expr(f"{100 + MIN_SIMILARITY} * least(x.common, y.common) >= {MIN_SIMILARITY} * (x.n + y.n)")
+    by_common = near.alias("x").join(near.alias("y"), apart & enough).select(*pair)
+    by_rare = shared.alias("x").join(shared.alias("y"), apart & F.expr("x.shingle = y.shingle")).select(*pair)
+    return by_common.union(by_rare)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,10 +145,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     open_ = posts.where("size > 2").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     tops = open_.groupBy("key", "part").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("top")).where("parts > 1")
-    open_ = checkpointed(open_.join(tops, "key").select("key", "doc_id", "n", "part", "leader", "top"))
-    x, y = open_.alias("x"), open_.where("part <> top AND doc_id <> leader").alias("y")
+    open_ = checkpointed(open_.join(tops, "key").select("key", "size", "doc_id", "n", "part", "leader", "top"))
+    short = open_.where(F.col("size") <= FREQUENT)
+    x, y = short.alias("x"), short.where("part <> top AND doc_id <> leader").alias("y")
     apart = F.expr("x.key = y.key AND x.part <> y.part AND x.doc_id <> x.leader AND (x.part = x.top OR x.doc_id < y.doc_id)")
-    rest = x.join(y, apart & _similar_size("x.n", "y.n")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    rest = x.join(y, apart & _similar_size("x.n", "y.n")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    rest = rest.union(_around(open_.where(F.col("size") > FREQUENT), docs)).distinct()
     more = _confirmed(rest, classes, docs)
     if more.take(1):
         parts = connected_components(links.union(more))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -61,6 +62,20 @@ def test_large_group_of_near_copies_and_a_chain(spark):
     assert {c for i, (_, c) in got.items() if i >= 1000} == {1000}
 
 
+def test_copies_around_the_threshold_and_a_common_line(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(r.randrange(14)):
+            words[r.randrange(150)] = f"x{r.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    line = [f"line{k}" for k in range(12)]
+    rows += [(1000 + i, " ".join(line + [f"z{r.randrange(40)}" for _ in range(r.randrange(12))])) for i in range(200)]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_nulls_empty_short_ties_and_extra_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "ONE\ttwo "), (6, "one two three"), (7, "É one"), (8, "é one"), (9, "x " * 5000), (9, "x " * 5000), (None, "one two")]
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, component_id int, key string")
