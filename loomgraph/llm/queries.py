@@ -14,6 +14,7 @@ from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import quality_verdicts
 from loomgraph.llm.secrets import secret_spans
+from loomgraph.llm.toxicity import toxicity_scores
 from loomgraph.llm.url_filter import example_list, url_verdicts
 
 
@@ -29,6 +30,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_verdicts(pages, example_list(pages))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
