@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.byte_bpe import token_digests
 from loomgraph.llm.common import table
 from loomgraph.llm.decontaminate import DECONTAMINATE_SQL, contained_items
+from loomgraph.llm.html_text import page_texts
+from loomgraph.llm.license_scan import license_spans
 from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, line_digests
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.quality import quality_verdicts
@@ -39,6 +41,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, example_list(pages))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_html_text": op6_html_text,
+    "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
