@@ -1 +1 @@
-"""Part of loomgraph."""
+"""Column functions: no actions, no Python per row."""

@@ -1 +1,23 @@
-"""Part of loomgraph."""
+"""Operators: functions from DataFrames to DataFrames, lazy but where a loop has to converge."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return df
+
+
+def first_per(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataFrame:
+    """The first k rows of each key in an order that ends in a unique column; Spark keeps k a task before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+
+def ranked(df: DataFrame, name: str, keys: list[str], order: list) -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

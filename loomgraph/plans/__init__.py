@@ -1 +1 @@
-"""Part of loomgraph."""
+"""Views that let the star schema stand in for the graph's tables, and the queries over them."""
