@@ -279,8 +279,8 @@ def bridge_candidates(spark, d):
 
 
 @query(f"""WITH RECURSIVE v AS ({plain('rel')}), b AS (SELECT DISTINCT source_entity_id AS x, target_entity_id AS y FROM v WHERE CAST(substring(target_entity_id, 2) AS BIGINT) % 10 = CAST(substring(source_entity_id, 2) AS BIGINT) % 10),
-b2 AS (SELECT x, y FROM b UNION SELECT y, x FROM b), reach AS (SELECT x AS id, x AS at FROM b2 UNION SELECT reach.id, b2.y FROM reach JOIN b2 ON reach.at = b2.x)
-SELECT id AS entity_id, min(at) AS component FROM reach GROUP BY id""")
+b2 AS (SELECT x, y FROM b UNION SELECT y, x FROM b), reach AS (SELECT x AS id, x AS node FROM b2 UNION SELECT reach.id, b2.y FROM reach JOIN b2 ON reach.node = b2.x)
+SELECT id AS entity_id, min(node) AS component FROM reach GROUP BY id""")
 def connected_components(spark, d):
     digit = lambda c: F.pmod(F.substring(c, 2, 20).cast("long"), F.lit(10))
     rel = view(spark, d, "rel").where(digit("source_entity_id") == digit("target_entity_id"))
@@ -293,10 +293,10 @@ pr AS (SELECT DISTINCT entity_id, pmid FROM evid), j AS (SELECT pr.entity_id, sc
 
 
 @query(f"""{_AGING}, g AS (SELECT entity_id, count(*) AS n_pmids_total, avg(prob) AS mean_prob, sum(prob) AS sum_prob, sum(row_score) AS score_sum, count(*) FILTER (WHERE prob >= 0.7) AS n_high FROM j GROUP BY entity_id), x AS (SELECT min(score_sum) AS a, max(score_sum) AS b FROM g)
-SELECT entity_id, n_pmids_total, round(mean_prob, 5) AS mean_prob, round(sum_prob, 5) AS sum_prob, round(score_sum, 5) AS score_sum, CAST(n_high AS BIGINT) AS n_high, round((score_sum - a) / (b - a), 5) AS aging_score FROM g, x""")
+SELECT entity_id, n_pmids_total, round(round(mean_prob, 9), 5) AS mean_prob, round(round(sum_prob, 9), 5) AS sum_prob, round(round(score_sum, 9), 5) AS score_sum, CAST(n_high AS BIGINT) AS n_high, round(round((score_sum - a) / (b - a), 9), 5) AS aging_score FROM g, x""")
 def aging_rank(spark, d):
     out = N.aging_rank(view(spark, d, "art"), view(spark, d, "evid"), AGING)
-    return out.select(*(F.round(c, 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+    return out.select(*(F.round(F.round(c, 9), 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 @query(f"{_AGING} SELECT entity_id, rank, pmid, round(row_score, 5) AS row_score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(row_score, 9) DESC, pmid) AS rank FROM j) x WHERE rank <= 3")
