@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir; a folder of our own only where none is set. Lost executors cost nothing of it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder. Lost executors cost nothing of it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
