@@ -121,12 +121,13 @@ tw AS (SELECT agg.entity_id, agg.entity_type, evidence_count, coalesce(sources_u
   sum(weight_sum) OVER (PARTITION BY agg.entity_id) AS weight_total_entity, weight_sum / sum(weight_sum) OVER (PARTITION BY agg.entity_id) AS weight_norm,
   row_number() OVER (PARTITION BY agg.entity_id ORDER BY round(weight_sum, 9) DESC, agg.entity_type) AS rank_in_entity
   FROM agg LEFT JOIN srcs ON agg.entity_id = srcs.entity_id AND agg.entity_type = srcs.entity_type)"""
-_WCOLS = "entity_id, entity_type, evidence_count, sources_unique, round(weight_sum, 6) AS weight_sum, round(weight_mean, 6) AS weight_mean, round(weight_max, 6) AS weight_max, default_hits, any_default, round(weight_total_entity, 6) AS weight_total_entity, round(weight_norm, 6) AS weight_norm, rank_in_entity"
+_WCOLS = "entity_id, entity_type, evidence_count, sources_unique, round(weight_sum, 6) AS weight_sum, round(weight_mean, 6) AS weight_mean, round(weight_max, 6) AS weight_max, default_hits, any_default, round(weight_total_entity, 6) AS weight_total_entity, round(weight_norm, 10) AS weight_norm, rank_in_entity"
 
 
 @query(f"{_W} SELECT {_WCOLS} FROM tw")
 def entity_type_weights(spark, d):
-    return _rounded(N.type_weights(view(spark, d, "etype")))
+    out = N.type_weights(view(spark, d, "etype"))
+    return _rounded(out.withColumn("weight_norm", F.round("weight_norm", 10)), "weight_norm")
 
 
 @query(f"{_W} SELECT entity_id, entity_type, rank_in_entity FROM tw WHERE rank_in_entity <= 2")
@@ -293,10 +294,10 @@ pr AS (SELECT DISTINCT entity_id, pmid FROM evid), j AS (SELECT pr.entity_id, sc
 
 
 @query(f"""{_AGING}, g AS (SELECT entity_id, count(*) AS n_pmids_total, avg(prob) AS mean_prob, sum(prob) AS sum_prob, sum(row_score) AS score_sum, count(*) FILTER (WHERE prob >= 0.7) AS n_high FROM j GROUP BY entity_id), x AS (SELECT min(score_sum) AS a, max(score_sum) AS b FROM g)
-SELECT entity_id, n_pmids_total, round(round(mean_prob, 9), 5) AS mean_prob, round(round(sum_prob, 9), 5) AS sum_prob, round(round(score_sum, 9), 5) AS score_sum, CAST(n_high AS BIGINT) AS n_high, round(round((score_sum - a) / (b - a), 9), 5) AS aging_score FROM g, x""")
+SELECT entity_id, n_pmids_total, round(mean_prob, 10) AS mean_prob, round(round(sum_prob, 9), 5) AS sum_prob, round(round(score_sum, 9), 5) AS score_sum, CAST(n_high AS BIGINT) AS n_high, round(round((score_sum - a) / (b - a), 9), 5) AS aging_score FROM g, x""")
 def aging_rank(spark, d):
     out = N.aging_rank(view(spark, d, "art"), view(spark, d, "evid"), AGING)
-    return out.select(*(F.round(F.round(c, 9), 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+    return out.select(*((F.round(c, 10) if c == "mean_prob" else F.round(F.round(c, 9), 5)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 @query(f"{_AGING} SELECT entity_id, rank, pmid, round(row_score, 5) AS row_score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(row_score, 9) DESC, pmid) AS rank FROM j) x WHERE rank <= 3")
