@@ -1,8 +1,8 @@
 """Secret scans (operator 9): base patterns, and corpus-wide ownership of what they and wider patterns find.
 
 One pass over the texts finds candidates. Their hashes are then aggregated over the corpus by distinct repositories
-and owners: a string that many owners have is an example that was copied around, one that a single owner has looks
-live. Spans of the base patterns always stay; spans of the wider pattern are added where ownership makes them look
+and owners: a string that many owners or many repositories have is an example that was copied around, one that a few
+repositories of a single owner have looks live. Spans of the base patterns always stay; spans of the wider pattern are added where ownership makes them look
 live. Here a document is a repository and its source the owner; both columns are parameters.
 """
 
@@ -28,8 +28,8 @@ WIDER = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}
 
 ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 
-#: A value of this many owners or more is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of this many owners or more, or of this many repositories or more whoever owns them, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 
 
 def mixed(value: str) -> bool:
@@ -65,8 +65,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_key, n_live, n_example) for each row of documents.
 
-    n_key counts the added spans, n_live the spans in `spans` whose value fewer than EXAMPLE_OWNERS owners have,
-    n_example the others. A null text counts as empty: no spans, and the digest of the empty string. A null owner
+    n_key counts the added spans, n_live the spans in `spans` whose value fewer than EXAMPLE_OWNERS owners and fewer
+    than EXAMPLE_REPOSITORIES repositories have, n_example the others. A null text counts as empty: no spans, and the digest of the empty string. A null owner
     counts as one owner, a null repository as one repository. Repeated rows are reported each, but count once
     towards ownership; other columns are ignored; an empty table gives no rows.
     """
@@ -86,11 +86,10 @@ def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     schema = "row long, doc_id long, repository string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:bigint,kind:bigint,end:bigint,value:bigint>>"
     scanned = checkpointed(map_columns(docs, scan, schema))
-    # first by value and owner, so that a value that fills the corpus is counted in parts
+    # distinct counts go by value and owner or repository first, so that a value that fills the corpus is counted in parts
     each = scanned.select("row", "repository", "owner", F.explode("found").alias("c"))
-    owned = each.groupBy(F.col("c.value").alias("value"), "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("repositories"))
-    owned = owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    widely = owned.where(F.col("owners") >= EXAMPLE_OWNERS).select("value", F.lit(True).alias("example"))
+    owned = each.groupBy(F.col("c.value").alias("value")).agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
+    widely = owned.where((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)).select("value", F.lit(True).alias("example"))
     known = each.select("row", "c.*").join(widely, "value", "left").withColumn("example", F.coalesce("example", F.lit(False)))
     known = known.where("kind < 3 OR NOT example")
     per_row = known.groupBy("row").agg(

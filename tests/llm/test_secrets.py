@@ -51,6 +51,15 @@ def test_ownership(spark):
     assert got[102] == ("assign:0:13", 0, 1, 0)
 
 
+def test_copies_within_one_owner_are_an_example(spark):
+    few, many, base_many = KEY, KEY[::-1], "abcdef123456"
+    rows = [(i, f"x {many} y password={base_many}", "s0") for i in range(10)] + [(100 + i, f"x {few} y", "s0") for i in range(9)] + [(200, f"x {few} y", "s0")] * 5
+    rows = [r for r in rows if r[0] != 108]
+    got = {x.doc_id: (x.spans, x.n_key, x.n_live, x.n_example) for x in secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == ("assign:37:58", 0, 0, 1)
+    assert got[100] == got[200] == ("key:2:34", 1, 1, 0)
+
+
 def test_nulls_empty_and_repeats(spark):
     rows = [(1, None, None, 1), (2, "", None, 1), (None, "secret: abcdef", None, 1), (3, "🙂 token=abcdef", "s", 1), (3, "🙂 token=abcdef", "s", 1), (4, "a" * 200_000, "s", 1)]
     got = sorted((str(r.doc_id), r.spans) for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string, row int")).collect())
