@@ -23,6 +23,9 @@ MAX_LABELLED = 1_200
 #: Rows with this remainder of crc32(doc_id) by FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
+#: Characters of a word; of the pieces of a longer run, and those that a piece shares with the next.
+LONGEST, PIECE, SHARED = 64, 16, 4
+
 #: Words of a window, and of the step to the next.
 LENGTH, STEP = 32, 24
 
@@ -44,11 +47,19 @@ _EDGES = string.punctuation + "¡«»¿‘’“”…"
 def word_inputs(word: str) -> tuple[int, list[int]]:
     """Bucket of the word and buckets of its n-grams. A token of punctuation alone is kept as it is."""
     core = word.strip(_EDGES) or word
-    raw = f"<{core[:64]}>".encode("utf-8", "replace")
+    raw = f"<{core}>".encode("utf-8", "replace")
     grams = [xxhash.xxh32_intdigest(raw[i : i + n]) % GRAM_BUCKETS for n in GRAMS for i in range(max(1, len(raw) - n + 1))]
     return xxhash.xxh32_intdigest(core.encode("utf-8", "replace"), 1) % WORD_BUCKETS, grams
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a text; a run longer than LONGEST, as in scripts without spaces, in overlapping pieces."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONGEST else (w[i : i + PIECE] for i in range(0, len(w) - SHARED, PIECE - SHARED)))]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -185,7 +196,7 @@ def _indexed(texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.n
 
 def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Network | None:
     """A network for labels 0 and 1; without both, none: then nothing is toxic."""
-    words = [t.lower().split() for t in texts]
+    words = [words_of(t) for t in texts]
     y = np.array([k for k, w in zip(labels, words, strict=True) if w], np.float32)
     words = [w for w in words if w]
     if len(set(y.tolist())) < 2:
@@ -270,7 +281,7 @@ def parts_of(text: str):
         end = start + PART
         while end < len(text) and not text[end].isspace() and end < start + 2 * PART:
             end += 1
-        words = last + text[start:end].lower().split()
+        words = last + words_of(text[start:end])
         if len(words) > len(last):
             yield words
         last, start = words[-(LENGTH - STEP) :], end

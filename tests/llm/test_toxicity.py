@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import toxicity
-from loomgraph.llm.toxicity import Network, Scorer, _indexed, laid_out, parts_of, toxicity_scores, train, windows_of
+from loomgraph.llm.toxicity import Network, Scorer, _indexed, laid_out, parts_of, toxicity_scores, train, windows_of, words_of
 
 
 def test_windows_cover_everything():
@@ -53,6 +53,19 @@ def test_parts_of_a_long_text_score_alike(monkeypatch):
     assert whole[0] > 0.5 and got[0] > 0.5 and got[1:] == whole[1:] and whole[2:] == [0.0, 0.0]
 
 
+def test_runs_without_spaces_are_read_to_their_end():
+    for n in (1, 63, 64, 65, 119, 120, 121, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = words_of(f"a {run} b")[1:-1]
+        assert pieces[0] + "".join(p[toxicity.SHARED :] for p in pieces[1:]) == run and max(map(len, pieces)) <= 64
+    r = np.random.default_rng(3)
+    filler = lambda: "".join(chr(0x4E00 + i) for i in r.integers(0, 60, 150))
+    bad = "\u6000\u6001\u6002\u6003" * 16
+    texts, labels = [filler() + bad * (k % 2) + filler() for k in range(240)], [k % 2 for k in range(240)]
+    got = np.array(Scorer(train(texts[:200], labels[:200], steps=100)).scores(texts[200:]))
+    assert ((got >= 0.5) == np.array(labels[200:])).mean() > 0.9
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
