@@ -56,13 +56,11 @@ def by_ids(df: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> D
 
 
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
-    """df.mapInArrow with fn(column as list, ...) -> {column: list or array}; fn keeps or changes the number of rows.
+    """map_batches with fn(column as list, ...) -> {column: list or array}; fn keeps or changes the number of rows.
 
     Column names of df must be distinct; fn gets them in order.
     """
-    session = df.sparkSession
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    arrow = session.createDataFrame([], schema).schema
+    arrow = df.sparkSession.createDataFrame([], schema).schema
     fields = [(f.name, _arrow_type(f.dataType.simpleString())) for f in arrow]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +69,18 @@ def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
                 out = fn(*(c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in fields], names=[n for n, _ in fields])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_ROWS rows at most.
+
+    Spark reads that bound when the plan runs, so it stays set in the session; smaller ones are left as they are.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
 
 
 def _arrow_type(name: str) -> pa.DataType:

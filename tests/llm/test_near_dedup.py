@@ -3,6 +3,7 @@ import re
 
 import pyarrow.parquet as pq
 
+from loomgraph.llm import near_dedup
 from loomgraph.llm.near_dedup import near_duplicates
 
 
@@ -83,5 +84,23 @@ def test_nulls_empty_short_ties_and_extra_columns(spark):
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 7, True), (8, 1, 8, True), (9, 1, 9, True), (9, 1, 9, True), (None, 1, None, True)], key=str)
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, c), (4, c), (8, None), (8, a), (6, None), (6, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the largest of 5's texts is b, of 8's it is a
+    want = [(3, 56, 3, True), (4, 56, 4, True), (5, 56, 5, True), (5, 56, 5, True), (6, 0, 6, True), (6, 0, 6, True), (7, 56, 5, False), (8, 56, 3, False), (8, 56, 3, False), (9, 56, 4, False), (9, 56, 4, False)]
+    assert got == want
+
+
+def test_many_classes_around_one_component_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SIDE", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w for w in base if r.random() > 0.06) + (f" y{i}" if i % 3 else "")) for i in range(160)]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
