@@ -9,7 +9,10 @@ documents, with the windows of a batch of documents side by side.
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import map_columns, with_id
 
-#: Labelled rows of each label that the network learns from, at most; those of the smallest hashes of doc_id.
+#: Labelled rows of each label that the network learns from, at most; those of the smallest hashes of doc_id. Of these,
+#: texts with more characters than that aren't learned from, so that the driver's share has a bound.
 MAX_LABELLED = 1_200
+MAX_LABELLED_CHARS = 50_000
 #: Rows with this remainder of crc32(doc_id) by FOLDS are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -36,9 +41,10 @@ HIDDEN = 8
 
 STEPS, DOCS_PER_STEP, RATE, SHARPNESS = 300, 32, 0.01, 3.0
 
-#: Distinct words whose inputs a worker remembers, windows that are scored side by side, and characters that are read at a time.
+#: Distinct words whose inputs a worker remembers, windows and new words that are computed side by side (always so many,
+#: so that a window's score doesn't depend on what is scored with it), and characters from which a text is read in parts.
 REMEMBERED = 150_000
-SIDE_BY_SIDE = 2048
+SIDE_BY_SIDE = 512
 PART = 1_000_000
 
 _EDGES = string.punctuation + "¡«»¿‘’“”…"
@@ -52,12 +58,18 @@ def word_inputs(word: str) -> tuple[int, list[int]]:
     return xxhash.xxh32_intdigest(core.encode("utf-8", "replace"), 1) % WORD_BUCKETS, grams
 
 
+def _pieces(runs: Iterator[str]) -> Iterator[str]:
+    for w in runs:
+        if len(w) <= LONGEST:
+            yield w
+        else:
+            yield from (w[i : i + PIECE] for i in range(0, len(w) - SHARED, PIECE - SHARED))
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case words of a text; a run longer than LONGEST, as in scripts without spaces, in overlapping pieces."""
     words = text.lower().split()
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
-    return [p for w in words for p in ([w] if len(w) <= LONGEST else (w[i : i + PIECE] for i in range(0, len(w) - SHARED, PIECE - SHARED)))]
+    return words if max(map(len, words), default=0) <= LONGEST else list(_pieces(iter(words)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -82,6 +94,12 @@ def laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.array(counts, np.int64)
 
 
+def _filled(rows: np.ndarray, value: int) -> np.ndarray:
+    """rows, filled up to SIDE_BY_SIDE: matrix products of one shape add up alike, whatever the other rows are."""
+    more = SIDE_BY_SIDE - len(rows)
+    return np.concatenate([rows, np.full((more, rows.shape[1]), value, rows.dtype)]) if more > 0 else rows
+
+
 class Network:
     """Weights, and what is computed from them. Arrays with a leading 2 are of the two directions."""
 
@@ -102,7 +120,8 @@ class Network:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """(2, words, 3 * HIDDEN): what a word adds to the gates."""
-        return np.matmul(x[None], self.w["input"]) + self.w["bias"]
+        parts = [np.matmul(_filled(x[k : k + SIDE_BY_SIDE], 0)[None], self.w["input"]) + self.w["bias"] for k in range(0, len(x), SIDE_BY_SIDE)]
+        return np.concatenate([np.empty((2, 0, 3 * HIDDEN), np.float32), *parts], axis=1)[:, : len(x)]
 
     def states(self, gates: np.ndarray, at: np.ndarray, keep: list | None = None) -> np.ndarray:
         """(LENGTH, windows, 2 * HIDDEN) for windows `at` of indices into gates; keep gets what the way back needs."""
@@ -133,8 +152,8 @@ class Network:
         return a, c, c @ self.w["out"] + self.w["base"][0]
 
     def logits(self, gates: np.ndarray, at: np.ndarray) -> np.ndarray:
-        parts = [at[k : k + SIDE_BY_SIDE] for k in range(0, len(at), SIDE_BY_SIDE)]
-        return np.concatenate([np.empty(0, np.float32), *(self.pooled(self.states(gates, p), p)[2] for p in parts)])
+        parts = [_filled(at[k : k + SIDE_BY_SIDE], -1) for k in range(0, len(at), SIDE_BY_SIDE)]
+        return np.concatenate([np.empty(0, np.float32), *(self.pooled(self.states(gates, p), p)[2] for p in parts)])[: len(at)]
 
     def gradients(self, word, gram, n, at, counts, labels, weights) -> dict[str, np.ndarray]:
         """Of the weighted log loss of documents, each the soft maximum of its windows; every document has a window."""
@@ -273,26 +292,35 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(best, -700, 700))) * np.isfinite(best)).tolist()
 
 
-def parts_of(text: str):
-    """The words of a text; of a very long one in parts, each of which repeats the last words of the one before."""
-    last: list[str] = []
-    start = 0
-    while start < len(text):
-        end = start + PART
-        while end < len(text) and not text[end].isspace() and end < start + 2 * PART:
-            end += 1
-        words = last + words_of(text[start:end])
-        if len(words) > len(last):
+_RUN = re.compile(r"\S+")
+
+
+def parts_of(text: str) -> Iterator[list[str]]:
+    """The words of a text; of a very long one in parts whose windows are together those of the whole text."""
+    if len(text) < PART:
+        if words := words_of(text):
             yield words
-        last, start = words[-(LENGTH - STEP) :], end
+        return
+    more = _pieces(m[0].lower() for m in _RUN.finditer(text))
+    words: list[str] = []
+    whole = True
+    while new := list(islice(more, max(LENGTH, PART // 8))):
+        words += new
+        if full := max(0, (len(words) - (LENGTH - STEP)) // STEP):
+            yield words[: full * STEP + LENGTH - STEP]
+            words, whole = words[full * STEP :], False
+    if whole and words or len(words) > LENGTH - STEP:
+        yield words
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """A network from at most MAX_LABELLED labelled documents of each label, which are all that reaches the driver."""
+    """A network from at most MAX_LABELLED labelled documents of each label, of MAX_LABELLED_CHARS each at most; they are
+    all that reaches the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT).groupBy("doc_id").agg(F.max("label").alias("label"))
     first = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for k in (0, 1)]
-    sample = with_id(documents, id_col, text_col).join(F.broadcast(first[0].union(first[1])), "doc_id")  # 2 * MAX_LABELLED ids at most
+    sample = with_id(documents, id_col, text_col).where(F.length("text") <= MAX_LABELLED_CHARS)
+    sample = sample.join(F.broadcast(first[0].union(first[1])), "doc_id")  # 2 * MAX_LABELLED ids at most
     rows = sample.groupBy("doc_id", "label").agg(F.max("text").alias("text")).collect()
     rows = sorted((r for r in rows if r.text), key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.label for r in rows])

@@ -53,6 +53,37 @@ def test_parts_of_a_long_text_score_alike(monkeypatch):
     assert whole[0] > 0.5 and got[0] > 0.5 and got[1:] == whole[1:] and whole[2:] == [0.0, 0.0]
 
 
+def test_scores_do_not_depend_on_what_is_scored_beside():
+    r = np.random.default_rng(4)
+    texts = ["awful w1 w2", "w1 w2 w3", "w5 w6 awful", "w5 w6 w7"] * 8
+    net = train(texts, [1, 0, 1, 0] * 8, steps=40)
+    asked = [" ".join(f"w{k}" for k in r.integers(0, 3000, n)) + " awful" * (n % 2) for n in (1, 2, 5, 31, 32, 33, 100, 700, 3000)]
+    alone = [Scorer(net).scores([t])[0] for t in asked]
+    for n in (1, 7, 60, 300):
+        others = [" ".join(f"v{k}" for k in r.integers(0, 500, 60)) for _ in range(n)]
+        assert Scorer(net).scores(others + asked + others[: n // 2])[n : n + len(asked)] == alone
+
+
+def test_a_long_text_has_one_grid_of_windows(monkeypatch):
+    run = "".join(chr(0x4E00 + i % 999) for i in range(5000))
+    for text in (" ".join(f"w{i}" for i in range(n)) for n in (1, 8, 9, 32, 33, 56, 57, 400, 1000)):
+        for whole in (text, text + " " + run, run + text):
+            words = words_of(whole)
+            want = [words[s : s + toxicity.LENGTH] for s in windows_of(len(words))]
+            with monkeypatch.context() as m:
+                m.setattr(toxicity, "PART", 300 if len(whole) >= 300 else 1)
+                got = [p[s : s + toxicity.LENGTH] for p in parts_of(whole) for s in windows_of(len(p))]
+            assert got == want
+
+
+def test_two_megabytes_are_read_to_the_end():
+    texts = ["awful w1 w2", "w1 w2 w3", "w5 w6 awful", "w5 w6 w7"] * 8
+    scorer = Scorer(train(texts, [1, 0, 1, 0] * 8, steps=40))
+    plain = " ".join(f"w{i % 9}" for i in range(700_000))
+    calm, bad = scorer.scores([plain, plain + " awful" * 12])
+    assert len(plain) > 2_000_000 and calm < 0.5 and bad > calm + 0.1
+
+
 def test_runs_without_spaces_are_read_to_their_end():
     for n in (1, 63, 64, 65, 119, 120, 121, 500):
         run = "".join(chr(0x4E00 + i) for i in range(n))
