@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, WINDOW, dedup_lines, line_digests
+from loomgraph.llm.line_dedup import LINE_DEDUP_SQL, WINDOW, WORDS, dedup_lines, line_digests
 
 
 def brute(rows):
@@ -12,10 +12,13 @@ def brute(rows):
         lines = (text or "").split("\n")
         full = [(k, x.strip(" \t\r")) for k, x in enumerate(lines) if x.strip(" \t\r")]
         gone = set()
-        for s in range(len(full) - WINDOW + 1):
-            window = tuple(x for _, x in full[s : s + WINDOW])
+        for s in range(len(full)):
+            size = next((k for k in range(1, WINDOW) if sum(len(x.split()) for _, x in full[s : s + k]) >= WORDS), WINDOW)
+            window = tuple(x for _, x in full[s : s + size])
+            if len(window) < size:
+                continue
             if window in seen:
-                gone.update(range(full[s][0], full[s + WINDOW - 1][0] + 1))
+                gone.update(range(full[s][0], full[s + size - 1][0] + 1))
             seen.add(window)
         out[i] = text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
@@ -33,6 +36,26 @@ def test_random_documents_equal_brute_force(spark):
     assert any(t == "" for t in got.values()) and sum(got[i] != t for i, t in rows) > 50
 
 
+def test_long_lines_are_found_alone_or_by_two(spark):
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c = line("a", 60), line("b", 30), line("c", 21)
+    rows = [(1, f"x\n{a}\ny"), (2, a), (3, f"{a}\nz"), (4, f"u\n{b}\n\n{c}\nv"), (5, f"{b}\n{c}"), (6, f"p\n{b}\nq"), (7, line("d", 49)), (8, line("d", 49)), (9, line("e", 50)), (10, line("e", 50))]
+    r = random.Random(6)
+    lines = [line(k, r.choice([1, 2, 10, 24, 25, 26, 49, 50, 51, 80])) for k in "fghijklmnopq"]
+    rows += [(100 + i, "\n".join(r.choice(lines) for _ in range(r.randrange(6)))) for i in range(150)]
+    got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert [got[k] for k in (2, 3, 5, 6, 8, 10)] == ["", "z", "", f"p\n{b}\nq", line("d", 49), ""]
+
+
+def test_rows_that_repeat_an_id_keep_what_is_their_own(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\ny\nz"), (2, "a\nb\nc"), (2, "x\ny\nz"), (3, "x\ny\nz\nq")]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, __id string, h int")
+    out = dedup_lines(df, length_col=None)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "a\nb\nc\nd"), (2, ""), (2, "x\ny\nz"), (2, "x\ny\nz"), (3, "q")]
+
+
 def test_documents_equal_sql(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}'")
