@@ -1,7 +1,7 @@
 """URL filters (operator 5): a blocked Bloom filter before an exact hash join.
 
 Listed URLs are canonical prefixes, host and path. Every page asks for the few prefixes that could list it: the
-suffixes of its host with the directories of its path. A blocked Bloom filter of the list, one cache line a key,
+suffixes of its host with the directories of its path, as far as the list's longest entries reach. A blocked Bloom filter of the list, one cache line a key,
 drops nearly all of these at the scan; possible hits go to an exact join with the list, which removes the filter's
 false positives. The filter's bits are aggregated block by block in Spark and its size is bounded; beyond the bound
 it lets more through and the join decides as before.
@@ -43,20 +43,31 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), re.split("[?#]", tail, maxsplit=1)[0]
 
 
+def _site(host: str) -> str:
+    """A host without user info, port and dots at its ends."""
+    return host.rpartition("@")[2].split(":")[0].strip(".")
+
+
 def canonical(url: str | None) -> str | None:
-    """The prefix that a listed URL stands for: its host without a port, and its path. Without a host, none."""
+    """The prefix that a listed URL stands for: its host without user info or port, and its path. Without a host, none."""
     host, path = host_and_path(url if "://" in (url or "") else f"http://{url or ''}")
-    name = host.split(":")[0].strip(".")
+    name = _site(host)
     return name + (path or "/") if name else None
 
 
-def lookups(host: str, path: str) -> list[str]:
-    """The canonical prefixes that would list a page: suffixes of its host with its path and the directories of that."""
-    labels = host.split(":")[0].strip(".").split(".")
-    if not labels[-1]:
+def lookups(host: str, path: str, labels: int | None = None, chars: int | None = None) -> list[str]:
+    """The canonical prefixes that would list a page: suffixes of its host with its path and the directories of that.
+
+    Hosts of more labels and paths of more characters than any entry of the list has are left out.
+    """
+    names = _site(host).split(".")
+    if not names[-1]:
         return []
-    paths = dict.fromkeys([path or "/", "/", *(path[: i + 1] for i, c in enumerate(path) if c == "/")])
-    return [".".join(labels[k:]) + p for k in range(len(labels)) for p in paths]
+    path = path or "/"
+    reach = len(path) if chars is None else min(len(path), chars)
+    ends = {1, *(m.end() for m in re.finditer("/", path[:reach])), *([len(path)] if len(path) <= reach else [])}
+    first = 0 if labels is None else max(0, len(names) - labels)
+    return [".".join(names[k:]) + p for k in range(first, len(names)) for p in dict.fromkeys("/" if e == 1 else path[:e] for e in sorted(ends))]
 
 
 def rule_of(host: str, path: str, rules: list[tuple[str, str]]) -> tuple[str, str] | tuple[None, None]:
@@ -114,11 +125,15 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
         return {"key": [canonical(u) for u in urls]}
 
     exact = map_columns(listed.select(F.col(url_col if url_col in listed.columns else listed.columns[0]).cast("string")), keys, "key string").dropna().distinct()
+    exact = checkpointed(exact)
+    host = F.substring_index("key", "/", 1)
+    most = exact.agg(F.max(F.size(F.split(host, r"\."))).alias("labels"), F.max(F.length("key") - F.length(host)).alias("chars")).first()
+    labels, chars = most.labels or 0, most.chars or 0
     words = pages.sparkSession.sparkContext.broadcast(bloom_filter(exact))
 
     def judge(ids: list, urls: list) -> dict:
         split = [host_and_path(u) for u in urls]
-        asked = [lookups(*x) for x in split]
+        asked = [lookups(*x, labels, chars) for x in split]
         flat = [k for x in asked for k in x]
         hit = iter(possible(words.value, flat).tolist() if flat else [])
         found = [rule_of(*x, rules) for x in split]

@@ -25,6 +25,36 @@ def test_lookups_hold_the_canonical_prefix():
         assert canonical(listed) in lookups(*host_and_path(page))
 
 
+def test_user_info_and_hostile_urls():
+    assert canonical("http://u:p@Bad.com:8/x") == "bad.com/x" and "bad.com/" in lookups(*host_and_path("http://u@x:y@www.bad.com:1/"))
+    asked = lookups("a." * 20_000 + "com", "/" * 20_000, 3, 12)
+    assert len(asked) == 3 * 12 and max(map(len, asked)) == len("a.a.com") + 12
+    for host, path in (("a.b.c", "/x/y/z"), ("a", ""), ("b.c", "x"), ("", "/x"), ("a.b.", "//")):
+        every = lookups(host, path)
+        assert [k for k in every if k.partition("/")[0].count(".") < 2 and len(k) - k.index("/") <= 3] == lookups(host, path, 2, 3)
+
+
+def test_a_list_of_many_thousand(spark):
+    """Against a plain join of every prefix with the list, written anew."""
+    r = random.Random(7)
+    site = lambda: ".".join(r.choice(["a", "b", "shop", "w"]) + str(r.randrange(9000)) for _ in range(r.randrange(1, 3))) + r.choice([".net", ".com"])
+    path = lambda n: "".join(f"/{r.choice('xyz')}{r.randrange(4)}" for _ in range(r.randrange(n)))
+    listed = [r.choice(["http://", "", "https://u@"]) + site() + r.choice(["", ":8080"]) + path(3) + r.choice(["", "/"]) for _ in range(60_000)]
+    urls = [(i, "http://" + r.choice(["www.", "", "m@"]) + site() + path(4) + r.choice(["", "?q=/", "#/"])) for i in range(20_000)]
+    entries = {}
+    for u in listed:
+        host, slash, rest = u.split("://")[-1].rpartition("@")[2].partition("/")
+        entries.setdefault(host.split(":")[0], set()).add("/" + rest)
+    want = {}
+    for i, u in urls:
+        host, _, rest = u[7:].rpartition("@")[2].partition("#")[0].partition("?")[0].partition("/")
+        whole, names = "/" + rest, host.split(".")
+        found = [".".join(names[k:]) + e for k in range(len(names)) for e in entries.get(".".join(names[k:]), ()) if whole == e or e.endswith("/") and whole.startswith(e)]
+        want[i] = min(found, default=None)
+    got = {x.page_id: x.listed_as for x in url_verdicts(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([(u,) for u in listed], "url string"), rules=[]).collect()}
+    assert got == want and 100 < sum(v is not None for v in got.values()) < len(got)
+
+
 def test_filter_has_no_false_negative(spark, monkeypatch):
     keys = [f"k{i}.com/" for i in range(5000)]
     df = spark.createDataFrame([(k,) for k in keys], "key string").repartition(5)
