@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
