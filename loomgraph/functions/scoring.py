@@ -38,10 +38,8 @@ def weight_of(hits: Column, p: SourceWeights) -> Column:
 
 
 def with_source_weights(df: DataFrame, p: SourceWeights, column: str = "source") -> DataFrame:
-    """df with hits and w. The rules run once per distinct source, and the result is joined back where Spark finds it best."""
-    each = df.select(F.col(column).alias("__source")).distinct().withColumn("hits", source_hits(F.col("__source"), p))
-    each = each.withColumn("w", weight_of(F.col("hits"), p))
-    return df.join(each, F.col(column).eqNullSafe(F.col("__source"))).drop("__source")
+    """df with hits and w, by the rules on each row: no join. Rows are best counted by their source before."""
+    return df.withColumn("hits", source_hits(F.col(column), p)).withColumn("w", weight_of(F.col("hits"), p))
 
 
 def relation_type(text: Column) -> Column:

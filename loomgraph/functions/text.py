@@ -58,7 +58,7 @@ def source_file(name: Column) -> Column:
 def source_label(name: Column) -> Column:
     """The first part of source_file(), capitalised, with `_` for characters of no word."""
     base = F.regexp_replace(F.substring_index(source_file(name), "__", 1), r"(?U)[^\w]", "_")
-    return F.concat(F.upper(F.substring(base, 1, 1)), F.lower(F.substring(base, 2, 1_000)))
+    return F.concat(F.upper(F.substring(base, 1, 1)), F.lower(F.substr(base, F.lit(2))))
 
 
 def evidence_in(evidence: Column, text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scoring import min_max, relation_type, with_source_weights
 from loomgraph.operators import require_columns
 from loomgraph.params import RELATION_SOURCES, SourceWeights
+from loomgraph.session import checkpointed
 
 _ENDS = ("source_entity_id", "target_entity_id")
 
@@ -28,16 +29,21 @@ def _top_types(typed: DataFrame) -> DataFrame:
     return counts.groupBy("u", "v").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("reltype_top"))
 
 
+def weighted_counts(rows: DataFrame, keys: list[str], p: SourceWeights) -> DataFrame:
+    """(keys, label, source, n, hits, w): how often each type and source occurs, dealt out by the keys."""
+    counts = rows.groupBy(*keys, relation_type(F.col("relation_type")).alias("label"), "source").agg(F.count("*").alias("n"))
+    return with_source_weights(counts.repartition(*keys), p)
+
+
 def weighted_edges(relations: DataFrame, p: SourceWeights = RELATION_SOURCES, min_count: int = 1) -> DataFrame:
     """Edges with count, weights, hit sources and the most frequent relation type.
 
-    Two aggregations with partial results on each side of one exchange: first by (u, v, type, hits), of which there are
-    few for any edge, then by (u, v). A hub's rows meet only as such partial sums.
+    Rows are counted by (u, v, type, source) first, of which there are few for any edge, and the source rules run once
+    for each. These counts are dealt out by (u, v), where the rest needs no further exchange.
     """
-    rows = with_source_weights(undirected(relations), p).select("u", "v", "hits", "w", relation_type(F.col("relation_type")).alias("label"))
-    part = rows.groupBy("u", "v", "label", "hits").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("w").alias("top"))
+    part = weighted_counts(undirected(relations), ["u", "v"], p)
     by_label = part.groupBy("u", "v", "label").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("top").alias("top"), F.sum(F.when(F.size("hits") == 0, F.col("n")).otherwise(0)).alias("defaults"), F.flatten(F.collect_set("hits")).alias("hits")
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("w"), F.max("w").alias("top"), F.sum(F.when(F.size("hits") == 0, F.col("n")).otherwise(0)).alias("defaults"), F.flatten(F.collect_set("hits")).alias("hits")
     )
     edges = by_label.groupBy("u", "v").agg(
         F.sum("n").alias("count"), F.sum("w").alias("weight_sum"), F.max("top").alias("weight_max"), F.sum("defaults").alias("default_hits"),
@@ -78,7 +84,7 @@ def count_edges(relations: DataFrame, min_weight: int = 2) -> DataFrame:
 
 def source_coverage(relations: DataFrame, p: SourceWeights = RELATION_SOURCES) -> DataFrame:
     """(source_key, n_rows) of hit keys; `__DEFAULT__` counts the rows without."""
-    hits = with_source_weights(undirected(relations).select("source"), p).select("hits").groupBy("hits").count()
+    hits = with_source_weights(undirected(relations).groupBy("source").count(), p).select("hits", "count")
     key = F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.lit("__DEFAULT__"))))
     return hits.select(key.alias("source_key"), "count").groupBy("source_key").agg(F.sum("count").alias("n_rows"))
 
@@ -115,6 +121,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def top_subgraph(edges: DataFrame, nodes: int = 200, top_edges: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the best nodes by score, their heaviest edges, and the degrees that these edges leave."""
+    edges = checkpointed(edges)  # read for the statistics, their scales and the sub-graph
     best = node_scores(node_stats(edges)).orderBy(F.desc("score"), "entity_id").limit(nodes)
     kept = induced(edges, best).orderBy(F.desc("weight"), "u", "v").limit(top_edges)
     left = node_stats(kept).select("entity_id", F.col("degree").alias("degree_sub"), F.col("strength").alias("strength_sub"))
@@ -143,5 +150,3 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     both = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w_final", F.col("reltype_top").alias("label"))
     top = both.groupBy("u", "v").agg(F.max("w_final").alias("w_final"))
     return top.join(_top_types(both), ["u", "v"])
-
-

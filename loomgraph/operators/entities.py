@@ -14,11 +14,11 @@ from loomgraph.params import CLASSES, ENTITY_SOURCES, ENTITY_WEIGHTS, QUALITY_WE
 def type_weights(types: DataFrame, p: SourceWeights = ENTITY_SOURCES) -> DataFrame:
     """Weights of each (entity_id, entity_type), their share of the entity, and the type's rank in it."""
     require_columns(types, "entity_id", "entity_type", "source")
-    rows = with_source_weights(types.dropna(subset=["entity_id", "entity_type"]), p)
-    part = rows.groupBy("entity_id", "entity_type", "hits").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("w").alias("top"))
+    counts = types.dropna(subset=["entity_id", "entity_type"]).groupBy("entity_id", "entity_type", "source").agg(F.count("*").alias("n"))
+    part = with_source_weights(counts.repartition("entity_id"), p)  # a row each type and source: what follows needs no other exchange
     out = part.groupBy("entity_id", "entity_type").agg(
-        F.sum("n").alias("evidence_count"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("sources_unique"), F.sum("w").alias("weight_sum"),
-        F.max("top").alias("weight_max"), F.sum(F.when(F.size("hits") == 0, F.col("n")).otherwise(0)).alias("default_hits"),
+        F.sum("n").alias("evidence_count"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("sources_unique"), F.sum(F.col("n") * F.col("w")).alias("weight_sum"),
+        F.max("w").alias("weight_max"), F.sum(F.when(F.size("hits") == 0, F.col("n")).otherwise(0)).alias("default_hits"),
     )
     total = F.sum("weight_sum").over(Window.partitionBy("entity_id"))
     out = out.withColumns({"weight_mean": F.col("weight_sum") / F.col("evidence_count"), "any_default": F.col("default_hits") > 0, "weight_total_entity": total})
@@ -29,8 +29,8 @@ def type_weights(types: DataFrame, p: SourceWeights = ENTITY_SOURCES) -> DataFra
 
 def source_coverage(types: DataFrame, p: SourceWeights = ENTITY_SOURCES) -> DataFrame:
     """(source_key, n_rows, mean_weight, key_weight) of hit keys; rows without a hit have a null key."""
-    rows = with_source_weights(types.select("source"), p)
-    each = rows.groupBy("hits", "w").count().select(F.explode_outer("hits").alias("source_key"), "w", "count")
+    rows = with_source_weights(types.groupBy("source").count(), p)
+    each = rows.select(F.explode_outer("hits").alias("source_key"), "w", "count")
     out = each.groupBy("source_key").agg(F.sum("count").alias("n_rows"), (F.sum(F.col("w") * F.col("count")) / F.sum("count")).alias("mean_weight"))
     weights = F.create_map(*[F.lit(x) for kv in ENTITY_WEIGHTS.items() for x in kv])
     return out.withColumn("key_weight", F.try_element_at(weights, F.coalesce("source_key", F.lit(""))))

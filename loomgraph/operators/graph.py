@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scoring import bridge, min_max, relation_type, type_pair_prior, with_source_weights
+from loomgraph.functions.scoring import bridge, min_max, type_pair_prior, with_source_weights
 from loomgraph.operators import first_per
-from loomgraph.operators.edges import induced, merged_edges, node_stats, undirected
+from loomgraph.operators.edges import induced, merged_edges, node_stats, undirected, weighted_counts
 from loomgraph.operators.entities import quality
 from loomgraph.params import SUBGRAPH_SOURCES, Mining, Seeded
 from loomgraph.session import checkpointed
@@ -109,21 +109,24 @@ def _seed_rows(relations: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def seed_neighbours(relations: DataFrame, seeds: DataFrame, p: Seeded = Seeded()) -> DataFrame:  # noqa: B008
     """(seed, neighbour, count, weight_sum, weight_mean, weight_max): each seed's strongest neighbours."""
-    rows = with_source_weights(_seed_rows(relations, seeds), SUBGRAPH_SOURCES)
-    out = rows.groupBy("seed", "neighbour").agg(F.count("*").alias("count"), F.sum("w").alias("weight_sum"), F.avg("w").alias("weight_mean"), F.max("w").alias("weight_max"))
+    counts = _seed_rows(relations, seeds).groupBy("seed", "neighbour", "source").agg(F.count("*").alias("n"))
+    rows = with_source_weights(counts, SUBGRAPH_SOURCES).groupBy("seed", "neighbour")
+    out = rows.agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("w")).alias("weight_sum"), F.max("w").alias("weight_max")).withColumn("weight_mean", F.col("weight_sum") / F.col("count"))
+    out = out.select("seed", "neighbour", "count", "weight_sum", "weight_mean", "weight_max")
     return first_per(out, ["seed"], [F.desc(F.round("weight_sum", 9)), F.desc("count"), "neighbour"], p.top_k)
 
 
 def confidence_edges(relations: DataFrame, nodes: DataFrame, p: Seeded = Seeded()) -> DataFrame:  # noqa: B008
     """Edges among nodes with their confidence, scaled as it is and capped at a quantile."""
     ends = induced(undirected(relations), nodes)
-    rows = with_source_weights(ends, SUBGRAPH_SOURCES).select("u", "v", "w", relation_type(F.col("relation_type")).alias("label"))
-    part = rows.groupBy("u", "v", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("w").alias("top"))
+    part = weighted_counts(ends, ["u", "v"], SUBGRAPH_SOURCES)
+    part = part.groupBy("u", "v", "label").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("w"), F.max("w").alias("top"))
     out = part.groupBy("u", "v").agg(F.sum("n").alias("count"), F.sum("w").alias("weight_sum"), F.max("top").alias("weight_max"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("reltype_top"))
-    out = out.where(F.col("count") >= p.min_count).withColumn("confidence", F.col("weight_sum"))
-    cap = out.agg(F.percentile("confidence", F.lit(p.quantile)).alias("cap"))
-    out = out.crossJoin(F.broadcast(cap)).withColumn("capped", F.least("confidence", "cap"))  # one row
-    out = min_max(out, {"confidence": "conf_norm_mm", "capped": "conf_norm_q"})
+    out = checkpointed(out.where(F.col("count") >= p.min_count).withColumn("confidence", F.col("weight_sum")))
+    ends = out.agg(F.percentile("confidence", F.lit(p.quantile)).alias("cap"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
+    out = out.crossJoin(F.broadcast(ends))  # one row
+    scaled = lambda x, high: F.when(high > F.col("low"), (x - F.col("low")) / (high - F.col("low"))).otherwise(0.0)
+    out = out.withColumns({"conf_norm_mm": scaled(F.col("confidence"), F.col("high")), "conf_norm_q": scaled(F.least("confidence", "cap"), F.col("cap"))})
     return out.select("u", "v", "count", "weight_sum", (F.col("weight_sum") / F.col("count")).alias("weight_mean"), "weight_max", "reltype_top", "confidence", "conf_norm_mm", "conf_norm_q")
 
 

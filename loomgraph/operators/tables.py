@@ -70,24 +70,28 @@ def _words(text: Column) -> Column:
 def snippet_places(snippets: DataFrame, texts: DataFrame) -> DataFrame:
     """(snippet_id, id): texts (id, text) that have all words of a snippet (snippet_id, text), in sequence.
 
-    A text is looked up under each of its windows of SNIPPET_WORDS words that begins a snippet, then compared whole.
-    Shorter snippets are in no pair.
+    A text is looked up under the hash of each of its windows of SNIPPET_WORDS words, or of as many as a shorter snippet has;
+    only (id, hash) is exploded. What is found is compared whole, once for each pair. Snippets without words are in no pair.
     """
-    window = lambda w, i: F.xxhash64(F.slice(w, i, SNIPPET_WORDS))
-    asked = snippets.select("snippet_id", _words(F.col("text")).alias("w")).where(F.size("w") >= SNIPPET_WORDS)
-    asked = asked.select("snippet_id", window(F.col("w"), F.lit(1)).alias("key"), F.array_join("w", " ").alias("wanted"))
-    if asked.limit(BROADCAST_SNIPPETS + 1).count() <= BROADCAST_SNIPPETS:
-        asked = F.broadcast(asked)
-    words = texts.select("id", _words(F.col("text")).alias("w")).where(F.size("w") >= SNIPPET_WORDS)
-    each = words.select("id", "w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SNIPPET_WORDS + 1), lambda i: window(F.col("w"), i)))).alias("key"))
+    key = lambda w, i, n: F.xxhash64(F.slice(w, i, n))
+    asked = snippets.select("snippet_id", _words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(SNIPPET_WORDS)))
+    sizes = sorted(r.n for r in asked.select("n").distinct().collect())  # SNIPPET_WORDS at most
+    asked = asked.select("snippet_id", key(F.col("w"), F.lit(1), F.col("n")).alias("key"), F.array_join("w", " ").alias("wanted"))
+    keys = asked.select("snippet_id", "key")
+    if keys.limit(BROADCAST_SNIPPETS + 1).count() <= BROADCAST_SNIPPETS:
+        keys = F.broadcast(keys)
+    words = texts.select("id", _words(F.col("text")).alias("w"))
+    windows = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: key(F.col("w"), i, n))) for n in sizes]
+    each = words.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*windows))))).alias("key")) if sizes else words.select("id", F.lit(0).cast("long").alias("key")).limit(0)
+    pairs = each.join(keys, "key").select("id", "snippet_id").distinct()
     found = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("wanted"), F.lit(" ")))
-    return each.join(asked, "key").where(found).select("snippet_id", "id").distinct()
+    return pairs.join(asked.select("snippet_id", "wanted"), "snippet_id").join(words, "id").where(found).select("snippet_id", "id").distinct()
 
 
 def matched_by_key(names: DataFrame, seeds: DataFrame) -> DataFrame:
     """(entity_id, seed) where a name's key equals a seed's."""
     left = names.select("entity_id", T.match_key(F.col("name")).alias("key"))
-    return left.join(F.broadcast(seeds.select("seed", T.match_key(F.col("seed")).alias("key"))), "key").select("entity_id", "seed").distinct()
+    return left.join(seeds.select("seed", T.match_key(F.col("seed")).alias("key")), "key").select("entity_id", "seed").distinct()
 
 
 def matched_by_pattern(names: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:

@@ -12,7 +12,7 @@ from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import evaluation as V
 from loomgraph.operators import graph as G
-from loomgraph.params import CLASSES, ENTITY_SOURCES, RELATION_SOURCES, RELATION_TYPES, SUBGRAPH_SOURCES, TYPE_PAIR_PRIOR, Aging, Seeded, Selection, SourceWeights
+from loomgraph.params import CLASSES, ENTITY_SOURCES, RELATION_SOURCES, RELATION_TYPES, SUBGRAPH_SOURCES, TYPE_PAIR_PRIOR, Aging, Selection, SourceWeights
 from loomgraph.plans.views import plain, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,15 +222,13 @@ def seeded_edges_final(spark, d):
     return _rounded(_nodes(spark, d)[1])
 
 
-@query()
+@query(f"""{_SEED}, ends AS (SELECT entity_id, count(*) AS n, sum(confidence) AS s FROM (SELECT u AS entity_id, confidence FROM conf UNION ALL SELECT v, confidence FROM conf) x GROUP BY entity_id)
+SELECT nodes.entity_id, CASE WHEN nodes.entity_id IN (SELECT entity_id FROM seeds) THEN 'seed' ELSE 'neighbor' END AS role, CAST(coalesce(n, 0) AS BIGINT) AS degree_sub, round(coalesce(s, 0), 6) AS strength_sub
+FROM nodes LEFT JOIN ends ON nodes.entity_id = ends.entity_id""")
 def seeded_nodes(spark, d):
     return _rounded(_nodes(spark, d)[0])
 
 
-_PPR = """{start}, e AS (SELECT u AS src, v AS dst, w FROM ne UNION ALL SELECT v, u, w FROM ne), o AS (SELECT src, sum(w) AS total FROM e GROUP BY src),
-a AS (SELECT e.src, e.dst, e.w / o.total AS share FROM e JOIN o ON e.src = o.src), nn AS (SELECT src AS id FROM o), sd AS (SELECT entity_id AS id FROM seeds WHERE entity_id IN (SELECT id FROM nn))"""
-
-
 @query("""WITH RECURSIVE ne AS (""" + plain("nation_edges") + """), seeds AS (""" + plain("seeds_aging") + """),
 e AS (SELECT u AS src, v AS dst, w FROM ne UNION ALL SELECT v, u, w FROM ne), o AS (SELECT src, sum(w) AS total FROM e GROUP BY src),
 a AS (SELECT e.src, e.dst, e.w / o.total AS share FROM e JOIN o ON e.src = o.src),
@@ -239,12 +237,12 @@ base AS (SELECT src AS id, CASE WHEN src IN (SELECT id FROM sd) THEN 1.0 / (SELE
 r AS (SELECT 0 AS step, (SELECT list({'id': id, 'p': CAST(1.0 / (SELECT count(*) FROM base) AS DOUBLE)}) FROM base) AS ranks
   UNION ALL
   SELECT step + 1, (SELECT list({'id': b.id, 'p': CAST(0.85 * coalesce(f.flow, 0) + 0.15 * b.restart AS DOUBLE)}) FROM base b LEFT JOIN (SELECT a.dst, sum(x.p * a.share) AS flow FROM (SELECT unnest(ranks, recursive := true)) x(id, p) JOIN a ON a.src = x.id GROUP BY a.dst) f ON f.dst = b.id)
-  FROM r WHERE step < 8)
-SELECT id AS entity_id, round(p, 6) AS ppr FROM (SELECT unnest(ranks, recursive := true) FROM r WHERE step = 8) y(id, p)""")
+  FROM r WHERE step < 100)
+SELECT id AS entity_id, round(p, 6) AS ppr FROM (SELECT unnest(ranks, recursive := true) FROM r WHERE step = 100) y(id, p)""")
 def ppr_scores(spark, d):
     edges = view(spark, d, "nation_edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
-    return _rounded(G.pagerank(edges, nodes, view(spark, d, "seeds_aging"), iterations=8))
+    return _rounded(G.pagerank(edges, nodes, view(spark, d, "seeds_aging")))
 
 
 _NATION = f"WITH ne AS ({plain('nation_edges')}), seeds AS ({plain('seeds_aging')}), b AS (SELECT u AS src, v AS dst, w FROM ne UNION ALL SELECT v, u, w FROM ne)"
@@ -279,13 +277,10 @@ def bridge_candidates(spark, d):
     return _rounded(G.candidates(scored, "B_total"))
 
 
-@query(f"""WITH RECURSIVE v AS ({plain('rel')}), b AS (SELECT DISTINCT source_entity_id AS x, target_entity_id AS y FROM v WHERE CAST(substring(target_entity_id, 2) AS BIGINT) % 10 = CAST(substring(source_entity_id, 2) AS BIGINT) % 10),
-b2 AS (SELECT x, y FROM b UNION SELECT y, x FROM b), reach AS (SELECT x AS id, x AS node FROM b2 UNION SELECT reach.id, b2.y FROM reach JOIN b2 ON reach.node = b2.x)
-SELECT id AS entity_id, min(node) AS component FROM reach GROUP BY id""")
+@query()
 def connected_components(spark, d):
-    digit = lambda c: F.pmod(F.substring(c, 2, 20).cast("long"), F.lit(10))
-    rel = view(spark, d, "rel").where(digit("source_entity_id") == digit("target_entity_id"))
-    return G.connected_components(rel.select(F.col("source_entity_id").alias("u"), F.col("target_entity_id").alias("v")))
+    """Over all relations; a recursive SQL of it is too slow, so tests/test_graph.py compares with brute force."""
+    return G.connected_components(view(spark, d, "rel").select(F.col("source_entity_id").alias("u"), F.col("target_entity_id").alias("v")))
 
 
 _AGING = f"""WITH art AS ({plain('art')}), evid AS ({plain('evid')}), m AS (SELECT min(ln(1 + factor)) AS a, max(ln(1 + factor)) AS b FROM art),
@@ -405,7 +400,3 @@ def graph_clean(spark, d):
 def heatmap_cells(spark, d):
     nodes = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity_id"))
     return _rounded(G.seed_grid(view(spark, d, "nation_edges"), nodes, view(spark, d, "seeds_aging")))
-
-
-#: For the sub-graph's own parameters.
-SEEDED = Seeded()

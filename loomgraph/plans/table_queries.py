@@ -65,22 +65,33 @@ def clean_names(spark, d):
     return read(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("name"))
 
 
-_PAREN = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' (AB' || CAST(p_partkey % 10 AS VARCHAR) || ')' WHEN 1 THEN ' (some further words)' ELSE '' END"
+#: A name's brackets by p_partkey % 6, and the main text, contents and kinds that follow.
+_BRACKETS = [
+    ("p_name || ' (AB' || CAST(p_partkey % 10 AS VARCHAR(20)) || ')'", "p_name", ["'AB' || CAST(p_partkey % 10 AS VARCHAR(20))"], ["abbreviation"]),
+    ("p_name || ' (some further words)'", "p_name", ["'some further words'"], ["info"]),
+    ("p_name", "p_name", [], []),
+    ("p_name || ' (A) y (B) '", "p_name || ' (A) y'", ["'B'"], ["abbreviation"]),
+    ("p_name || ' (A) y'", "p_name || '  y'", ["'A'"], ["abbreviation"]),
+    ("p_name || ' (A1) y (2005) z'", "p_name || '  y  z'", ["'A1'", "'2005'"], ["abbreviation", "info"]),
+]
 
 
-@query("""SELECT p_partkey, p_name AS main_text, CASE p_partkey % 3 WHEN 0 THEN 'AB' || CAST(p_partkey % 10 AS VARCHAR) WHEN 1 THEN 'some further words' END AS content,
-CASE p_partkey % 3 WHEN 0 THEN 'abbreviation' WHEN 1 THEN 'info' END AS kind FROM part""")
+def _by_remainder(values: list[str]) -> str:
+    return "CASE CAST(p_partkey % 6 AS INT) " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"""SELECT p_partkey, {_by_remainder([m for _, m, _, _ in _BRACKETS])} AS main_text, {_by_remainder([" || ';' || ".join(c) or "''" for _, _, c, _ in _BRACKETS])} AS contents,
+{_by_remainder(["'" + ";".join(k) + "'" for _, _, _, k in _BRACKETS])} AS kinds FROM part""")
 def abbrev_parse(spark, d):
-    k = F.col("p_partkey") % 3
-    tail = F.when(k == 0, F.concat(F.lit(" (AB"), (F.col("p_partkey") % 10).cast("string"), F.lit(")"))).when(k == 1, " (some further words)").otherwise("")
-    x = read(spark, d, "part").select("p_partkey", T.bracket_parts(F.concat("p_name", tail)).alias("x"))
-    first = F.get("x.details", 0)
-    return x.select("p_partkey", "x.main_text", first["content"].alias("content"), first["type"].alias("kind"))
+    x = read(spark, d, "part").select("p_partkey", T.bracket_parts(F.expr(_by_remainder([t for t, _, _, _ in _BRACKETS]))).alias("x"))
+    part = lambda field: F.array_join(F.transform("x.details", lambda p: p[field]), ";")
+    return x.select("p_partkey", "x.main_text", part("content").alias("contents"), part("type").alias("kinds"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
-    return read(spark, d, "events").select("event_id", F.get_json_object(T.json_payload(F.col("props")), "$.k").try_cast("bigint").alias("k"))
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("The answer:\n```JSON\n"), "props", F.lit("\n```\nThat is all."))).otherwise(F.col("props"))
+    return read(spark, d, "events").select("event_id", F.get_json_object(T.json_payload(fenced), "$.k").try_cast("bigint").alias("k"))
 
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 50) AS BIGINT) AS batch FROM documents")
@@ -95,9 +106,9 @@ def llm_requests(spark, d):
     return read(spark, d, "part").select("p_partkey", F.to_json(body).alias("request"))
 
 
-@query(f"SELECT pmid, journal_abbr FROM ({plain('art')}) a WHERE jcr = 'Q1' AND factor >= 10")
+@query(f"SELECT pmid, journal_abbr FROM ({plain('art')}) a WHERE jcr = 'Q1' AND factor > 10 AND trim(abstract) <> ''")
 def journal_filter(spark, d):
-    return view(spark, d, "art").where("jcr = 'Q1' AND factor >= 10").select("pmid", "journal_abbr")
+    return view(spark, d, "art").where("jcr = 'Q1' AND factor > 10 AND trim(abstract) <> ''").select("pmid", "journal_abbr")
 
 
 @query(f"SELECT pmid, factor FROM ({plain('art')}) a ORDER BY factor DESC, pmid LIMIT 100")
@@ -132,7 +143,7 @@ def fingerprint_match(spark, d):
 _BARE = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"WITH b AS (SELECT item_id, {_BARE.format('text')} AS t FROM benchmark), x AS (SELECT doc_id, {_BARE.format('text')} AS t FROM documents) SELECT b.item_id AS snippet_id, x.doc_id AS id FROM b JOIN x ON contains(' ' || x.t || ' ', ' ' || b.t || ' ') WHERE len(string_split(b.t, ' ')) >= 5")
+@query(f"WITH b AS (SELECT item_id, {_BARE.format('text')} AS t FROM benchmark), x AS (SELECT doc_id, {_BARE.format('text')} AS t FROM documents) SELECT b.item_id AS snippet_id, x.doc_id AS id FROM b JOIN x ON contains(' ' || x.t || ' ', ' ' || b.t || ' ') WHERE b.t <> ''")
 def snippet_match(spark, d):
     return B.snippet_places(read(spark, d, "benchmark").select(F.col("item_id").alias("snippet_id"), "text"), read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
