@@ -81,7 +81,12 @@ def snippet_places(snippets: DataFrame, texts: DataFrame) -> DataFrame:
     if keys.limit(BROADCAST_SNIPPETS + 1).count() <= BROADCAST_SNIPPETS:
         keys = F.broadcast(keys)
     words = texts.select("id", _words(F.col("text")).alias("w"))
-    windows = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: key(F.col("w"), i, n))) for n in sizes]
+
+    def windows_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: key(F.col("w"), i, F.lit(n))))
+
+    windows = [windows_of(n) for n in sizes]
     each = words.select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*windows))))).alias("key")) if sizes else words.select("id", F.lit(0).cast("long").alias("key")).limit(0)
     pairs = each.join(keys, "key").select("id", "snippet_id").distinct()
     found = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("wanted"), F.lit(" ")))
