@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.params import BAD_NAMES, NO_NAMES
+from loomgraph.params import BAD_NAMES, MODEL_LABELS, NO_NAMES
 
 
 def entity_id(name: Column, upper: bool = False) -> Column:
@@ -146,3 +146,36 @@ def json_payload(text: Column) -> Column:
     """The JSON in a fenced block, or the text itself."""
     fenced = F.regexp_extract(text, r"(?is)```json\s*(.*?)\s*```", 1)
     return F.when(fenced != "", fenced).otherwise(text)
+
+
+def pub_date(text: Column) -> Column:
+    """The first two numbers as `year-month`, the second two digits long or 01; without a number empty."""
+    numbers = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
+    month = F.coalesce(F.get(numbers, 1), F.lit("01"))
+    return F.when(F.size(numbers) > 0, F.concat(F.get(numbers, 0), F.lit("-"), F.when(F.length(month) < 2, F.lpad(month, 2, "0")).otherwise(month))).otherwise("")
+
+
+def first_issn(text: Column) -> Column:
+    """The first word of a field with a dash; other fields as they are."""
+    return F.when(text.contains("-"), F.split(F.trim(text), r"\s+")[0]).otherwise(text)
+
+
+def model_label(name: Column) -> Column:
+    """A model's short label; OtherModel if it isn't listed, UnknownModel if there is none."""
+    listed = F.create_map(*(F.lit(x) for kv in MODEL_LABELS.items() for x in kv))
+    return F.when(name.isNull(), "UnknownModel").otherwise(F.coalesce(F.try_element_at(listed, name), F.lit("OtherModel")))
+
+
+def gold_meta(text: Column) -> dict[str, Column]:
+    """pmid, title and body of `pmid:title:body`; a text of fewer parts is all body."""
+    parts = F.split(text, ":", 3)
+    whole = F.size(parts) == 3
+    digits = F.nullif(F.regexp_extract(parts[0], r"\d+", 0), F.lit(""))
+    return {"pmid": F.when(whole, digits), "title": F.when(whole, F.get(parts, 1)).otherwise(""), "body": F.when(whole, F.get(parts, 2)).otherwise(text)}
+
+
+def safe_slice(text: Column, start: Column, stop: Column) -> Column:
+    """text from start to stop, in whichever order, within its bounds; without both empty."""
+    a, b = F.greatest(F.least(start, stop), F.lit(0)), F.least(F.greatest(start, stop), F.length(text))
+    out = F.substr(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    return F.when(start.isNotNull() & stop.isNotNull(), out).otherwise("")

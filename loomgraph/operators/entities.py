@@ -50,6 +50,14 @@ def select_entities(weights: DataFrame, types: list[str] = CLASSES, s: Selection
     return out.where((F.col("evidence_count") >= s.min_evidence) & (F.col("sources_unique") >= s.min_sources))
 
 
+def select_sets(weights: DataFrame, sets: dict[str, tuple[list[str], Selection]]) -> DataFrame:
+    """Rows of type_weights() of every named set of types, each with its own selection, under the set's name."""
+    first, *rest = (select_entities(weights, types, s).withColumn("seed_set", F.lit(name)) for name, (types, s) in sets.items())
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
 def entity_pool(weights: DataFrame, names: DataFrame, s: Selection = Selection(min_sources=2), banned: list[str] = ()) -> DataFrame:  # noqa: B008
     """Selected entities whose name (entity_id, name) says something and whose id is not banned."""
     good = names.select("entity_id", clean_entity_name(F.col("name")).alias("name")).where(~bad_name(F.col("name")))
@@ -118,3 +126,15 @@ def statistics(entities: DataFrame) -> DataFrame:
     """(entity_type, n, mean_confidence) with a row `_ALL_`."""
     by = entities.groupBy("entity_type").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
     return by.union(entities.agg(F.lit("_ALL_").alias("entity_type"), F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence")))
+
+
+def relations_between(relations: DataFrame, a: str, b: str) -> DataFrame:
+    """Relations between two entities, in either direction."""
+    return relations.where((F.least("source_entity_id", "target_entity_id") == min(a, b)) & (F.greatest("source_entity_id", "target_entity_id") == max(a, b)))
+
+
+def search_relations(relations: DataFrame, text: str, columns: list[str], kind: str | None = None) -> DataFrame:
+    """Relations that have the text in one of the columns, in any case."""
+    has = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(text.lower()) for c in columns]
+    out = relations.where(F.greatest(*has) if len(has) > 1 else has[0])
+    return out.where(F.col("relation_type") == kind) if kind else out

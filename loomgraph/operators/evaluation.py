@@ -79,3 +79,10 @@ def class_matrix(relations: DataFrame, types: DataFrame, classes: list[str]) ->
     for end in ("source", "target"):
         relations = relations.join(types.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("entity_type").alias(f"{end}_type")), f"{end}_entity_id")
     return relations.groupBy("source_type").pivot("target_type", classes).count().na.fill(0)
+
+
+def by_task(counts: DataFrame) -> DataFrame:
+    """(task, tp, fp, fn, precision, recall, f1) of counts (task, tp, fp, fn), with a row `_ALL_` of the sums."""
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    each = counts.groupBy("task").agg(*sums)
+    return with_scores(each.union(each.agg(F.lit("_ALL_").alias("task"), *sums)))

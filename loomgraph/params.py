@@ -58,6 +58,11 @@ SYNONYM_TRIGGERS = {
     r"\bRAPAMYCIN\b": [r"\bSirolimus\b"],
     r"\bCALORIC RESTRICTION\b": [r"\bCR\b", r"\bCalorie Restriction\b", r"\bDietary Restriction\b", r"\bDR\b"],
 }
+MODEL_LABELS = {
+    "AgingRelated-DeepSeekR1-32B": "DeepSeekR1_32B", "AgingRelated-DeepSeekR1-7B": "DeepSeekR1_7B", "AgingRelated-DeepSeekV3": "DeepSeekV3",
+    "JCRQ1-IF10-DeepSeekR1-32B": "DeepSeekR1_32B", "JCRQ1-IF10-DeepSeekR1-7B": "DeepSeekR1_7B", "JCRQ1-IF10-DeepSeekV3": "DeepSeekV3",
+    "en_ner_bc5cdr_md": "SciSpacy_BC5CDR", "en_ner_bionlp13cg_md": "SciSpacy_BioNLP13CG", "en_ner_jnlpba_md": "SciSpacy_JNLPBA",
+}
 QUALITY_WEIGHTS = {"evidence_count": 0.35, "sources_unique": 0.25, "weight_sum": 0.25, "weight_max": 0.10, "weight_mean": 0.05, "default_hits": 0.10}
 
 
