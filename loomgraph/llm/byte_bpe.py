@@ -108,7 +108,7 @@ class ByteBPE:
 
     def __init__(self, tokens: dict[bytes, int], pattern: str):
         self.rank = tokens
-        self.vocabulary = list(tokens)
+        self.vocabulary, self.ranks = list(tokens), list(tokens.values())
         self.bytes_of = {r: t for t, r in tokens.items()}
         self.perfect = PerfectHash(self.vocabulary)
         self.fast = re.compile(spelled_out(pattern))
@@ -177,7 +177,7 @@ class ByteBPE:
         pieces = [t.encode("utf-8", "replace") for t in new]
         for token, piece, at in zip(new, pieces, self.perfect.index(pieces).tolist(), strict=True):
             whole = self.vocabulary[at]
-            ids = [self.rank[whole]] if whole == piece else self.merged(piece)
+            ids = [self.ranks[at]] if whole == piece else self.merged(piece)
             known[token], plain[token] = " ".join(map(str, ids)), self.decode(ids)
 
     def pre_tokens(self, text: str) -> Iterator[list[str]]:

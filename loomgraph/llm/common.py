@@ -154,3 +154,12 @@ def coefficients(k: int, seed: int) -> np.ndarray:
 def with_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, under fixed names: other columns of df can't clash with its own."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), where rows that repeat an id all have the largest of its texts."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.take(1):
+        return docs
+    largest = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("largest"))
+    return docs.join(largest, "doc_id", "left").select("doc_id", F.coalesce("largest", "text").alias("text"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_columns, mix, shingle_sequence, shingle_set, with_id, words_lower
+from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_columns, mix, one_text, shingle_sequence, shingle_set, with_id, words_lower
 
 COORDINATES = 64
 #: Shingles of the smallest block; partitions have 1, 2, 4, ... blocks.
@@ -28,6 +28,9 @@ BLOCK = 8
 BITS_PER_KEY = 2048
 MAX_BITS = 1 << 27
 
+#: Candidates of a document whose shingles are gathered in one row.
+ITEMS_AT_ONCE = 64
+
 _A = coefficients(COORDINATES, 8)
 
 
@@ -104,17 +107,18 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
 
     Words are split and lower-cased as for near duplicates. An item of fewer than five words is one shingle, its whole
     sequence, and is contained only in a document that is the same sequence. Items without words, and null ids or
-    texts on either side, are in no pair. Rows that repeat an id count as one; other columns are ignored; empty
-    tables give no pairs.
+    texts on either side, are in no pair. Rows that repeat an id count as one, with the largest of their texts; other
+    columns are ignored; empty tables give no pairs.
     """
-    docs = with_id(documents, id_col, text_col).where("doc_id IS NOT NULL")
+    docs = one_text(with_id(documents, id_col, text_col).where("doc_id IS NOT NULL"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).dropna()
+    items = items.groupBy("item_id").agg(F.max("text").alias("text"))
 
     def of_items(ids: list, texts: list) -> dict:
         found = [item_keys(t) for t in texts]
         return {"item_id": ids, "part": [p for p, _ in found], "keys": [k.view(np.int64) for _, k in found], "shingles": [shingle_set(t).view(np.int64) for t in texts]}
 
-    items = checkpointed(map_columns(items, of_items, "item_id long, part long, keys array<long>, shingles array<long>").where(F.size("keys") > 0).dropDuplicates(["item_id"]))
+    items = checkpointed(map_columns(items, of_items, "item_id long, part long, keys array<long>, shingles array<long>").where(F.size("keys") > 0))
     partitions = sorted(r.part for r in items.select("part").distinct().collect())  # a few powers of two
     keys = items.select("item_id", F.explode("keys").alias("key"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, items.count()))
@@ -124,7 +128,10 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
 
     hits = map_columns(docs, of_documents, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
     pairs = checkpointed(hits.join(keys, "key").select("doc_id", "item_id").distinct())
-    wanted = pairs.join(items.select("item_id", "shingles"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shingles")).alias("items"))
+    # a document's candidates are verified ITEMS_AT_ONCE or so at a time
+    parts = pairs.groupBy("doc_id").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("parts"))
+    dealt = pairs.join(parts, "doc_id").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts"))
+    wanted = dealt.join(items.select("item_id", "shingles"), "item_id").groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "shingles")).alias("items")).drop("part")
     texts = by_ids(docs, pairs.select("doc_id").distinct(), "left_semi")
 
     def verify(ids: list, texts: list, items: list) -> dict:
@@ -142,10 +149,10 @@ def contained_items(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
 DECONTAMINATE_SQL = r"""
 WITH d AS (
   SELECT doc_id AS id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+') IF x <> ''] AS w
-  FROM documents WHERE doc_id IS NOT NULL
+  FROM (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id) x
 ), b AS (
   SELECT item_id AS id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+') IF x <> ''] AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM (SELECT item_id, max(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id) x
 ), ds AS (
   SELECT DISTINCT id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))]) AS s FROM d WHERE len(w) > 0
 ), bs AS (

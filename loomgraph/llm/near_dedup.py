@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_batches, map_columns, shingle_set, with_id
+from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_batches, map_columns, one_text, shingle_set, with_id
 from loomgraph.llm.components import connected_components
 
 #: Coordinates of a signature, the least number that must agree, and the length from which a list counts as frequent.
@@ -72,15 +72,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_columns(docs, run, "doc_id long, n_shingles long, set_hash binary, sig array<int>, low array<bigint>")
 
 
-def _one_text(docs: DataFrame) -> DataFrame:
-    """docs, where rows that repeat an id all have the largest of its texts."""
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not again.take(1):
-        return docs
-    largest = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("largest"))
-    return docs.join(largest, "doc_id", "left").select("doc_id", F.coalesce("largest", "text").alias("text"))
-
-
 def _similar_size(a: str, b: str):
     return F.expr(f"100 * least({a}, {b}) >= {MIN_SIMILARITY} * greatest({a}, {b})")
 
@@ -204,7 +195,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     are one document, that of the largest of their texts, and each get its result. A null doc_id is
     linked with nothing: its component_id is null and it is kept. Other columns are ignored.
     """
-    docs = _one_text(with_id(documents, id_col, text_col))
+    docs = one_text(with_id(documents, id_col, text_col))
     sig = checkpointed(signatures(docs))
     first = F.min(F.struct("doc_id", "n_shingles", "sig", "low")).alias("first")
     classes = checkpointed(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(first).select("set_hash", "first.*"))

@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 
+from loomgraph.llm import decontaminate
 from loomgraph.llm.decontaminate import DECONTAMINATE_SQL, block_minima, contained_items, partition_of
 
 
@@ -53,3 +54,12 @@ def test_nulls_empty_and_repeats(spark):
     items = spark.createDataFrame([(1, item, 1), (1, item, 1), (2, None, 1), (3, "", 1), (None, item, 1), (5, "Two words", 1)], "item_id long, text string, keys int")
     assert sorted(tuple(r) for r in contained_items(docs, items).collect()) == [(3, 1, 3, 3), (4, 5, 1, 1)]
     assert contained_items(docs.limit(0), items).count() == 0 and contained_items(docs, items.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_have_the_largest_text(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 1)
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " z"), (3, a + " " + b)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (8, b), (9, a), (9, b)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect())
+    assert got == [(1, 8), (1, 9), (2, 7), (3, 7), (3, 8), (3, 9)]
