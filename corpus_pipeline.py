@@ -42,7 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id."""
-    return by_ids(docs, near_duplicates(docs).where("NOT kept"), "left_anti")
+    gone = common.checkpointed(near_duplicates(docs).where("NOT kept").select("doc_id"))
+    return by_ids(docs, gone, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
