@@ -70,7 +70,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, h, runs) of docs (doc_id, text): the later repeated runs (first, last) of lines, for documents that have any."""
-    posts = _fingerprints(docs)
+    posts = checkpointed(_fingerprints(docs))  # read twice
     often = posts.groupBy("f").count().where("count > 1").select("f")
     windows = checkpointed(posts.join(often, "f").select("doc_id", "h", F.explode("own").alias("x")).select("doc_id", "h", "x.*"))
     at = F.struct("doc_id", "h", "first")
