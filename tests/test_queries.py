@@ -16,6 +16,6 @@ def test_equals_sql(spark, con, sf, name):
     compare(spark, con, name, core.QUERIES[name], core.ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL) - {"bridge_candidates"}))
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL)))
 def test_has_rows(spark, sf, name):
     assert core.QUERIES[name](spark, sf).count() > 0
