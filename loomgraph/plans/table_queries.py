@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators import classifier as C
 from loomgraph.operators import tables as B
 from loomgraph.plans.views import plain, view
 from loomgraph.streaming import edges as S
@@ -262,13 +260,23 @@ def unified_rels(spark, d):
     return view(spark, d, "rel").select("source_entity_id", "target_entity_id", "relation_type").distinct().join(types, "source_entity_id")
 
 
+def _labelled(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    known = docs.join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).dropna(), "doc_id")
+    return docs, known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+
+
 @query()
 def classifier_scores(spark, d):
-    """A logistic regression over hashed words, fitted on labelled documents by MLlib; scores of all documents."""
-    docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"), HashingTF(inputCol="words", outputCol="features", numFeatures=4096), LogisticRegression(maxIter=20, regParam=0.01)]
-    return Pipeline(stages=steps).fit(known).transform(docs).select("doc_id", vector_to_array("probability")[1].alias("score"))
+    """The probability of each document by a classifier that is fitted on the labelled ones."""
+    docs, known = _labelled(spark, d)
+    return C.fitted(known).transform(docs).select("doc_id", vector_to_array("probability")[1].alias("score"))
+
+
+@query()
+def classifier_folds(spark, d):
+    """(fold, auc) of five folds by the hash of doc_id, each scored by a classifier of the others."""
+    return C.fold_scores(_labelled(spark, d)[1])
 
 
 def _streamed(spark, d, name):
