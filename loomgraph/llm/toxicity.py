@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import xxhash
@@ -41,21 +41,40 @@ HIDDEN = 8
 
 STEPS, DOCS_PER_STEP, RATE, SHARPNESS = 300, 32, 0.01, 3.0
 
-#: Distinct words whose inputs a worker remembers, windows and new words that are computed side by side (always so many,
-#: so that a window's score doesn't depend on what is scored with it), and characters from which a text is read in parts.
+#: Distinct words whose inputs a worker remembers, windows and new words that are computed side by side, words whose inputs
+#: are hashed at once, words that wait to be scored together, and characters from which a text is read in parts. None of
+#: them changes a score.
 REMEMBERED = 150_000
 SIDE_BY_SIDE = 512
+LEARNED_AT_ONCE = 8_192
+WAITING = 50_000
 PART = 1_000_000
 
 _EDGES = string.punctuation + "¡«»¿‘’“”…"
 
 
-def word_inputs(word: str) -> tuple[int, list[int]]:
-    """Bucket of the word and buckets of its n-grams. A token of punctuation alone is kept as it is."""
-    core = word.strip(_EDGES) or word
-    raw = f"<{core}>".encode("utf-8", "replace")
-    grams = [xxhash.xxh32_intdigest(raw[i : i + n]) % GRAM_BUCKETS for n in GRAMS for i in range(max(1, len(raw) - n + 1))]
-    return xxhash.xxh32_intdigest(core.encode("utf-8", "replace"), 1) % WORD_BUCKETS, grams
+def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words, those of all their n-grams one word after the other, and the number of n-grams of each.
+
+    A token of punctuation alone is kept as it is; a word shorter than an n-gram is one n-gram, zeros after it.
+    """
+    cores = [w.strip(_EDGES) or w for w in words]
+    raw = [c.encode("utf-8", "replace") for c in cores]
+    own = np.array([xxhash.xxh32_intdigest(r, 1) % WORD_BUCKETS for r in raw], np.int64)
+    size = np.array([len(r) + 2 for r in raw], np.int64)
+    text = np.frombuffer(b"<" + b">\0<".join(raw) + b">\0" + bytes(max(GRAMS)), np.uint8).astype(np.uint64)
+    place = np.arange(size.sum() + len(size)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)  # within its word
+    last = np.repeat(size, size + 1)
+    buckets, there = [], []
+    for n in GRAMS:
+        key = np.full(len(place), n, np.uint64)
+        for k in range(n):
+            key = key << np.uint64(8) | text[k : k + len(place)]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        buckets.append((key >> np.uint64(32)) % np.uint64(GRAM_BUCKETS))
+        there.append(place <= np.maximum(0, last - n))
+    grams = np.stack(buckets, axis=1)[np.stack(there, axis=1)].astype(np.int64)
+    return own, grams, sum(np.maximum(1, size - n + 1) for n in GRAMS)
 
 
 def _pieces(runs: Iterator[str]) -> Iterator[str]:
@@ -94,10 +113,13 @@ def laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.array(counts, np.int64)
 
 
-def _filled(rows: np.ndarray, value: int) -> np.ndarray:
-    """rows, filled up to SIDE_BY_SIDE: matrix products of one shape add up alike, whatever the other rows are."""
-    more = SIDE_BY_SIDE - len(rows)
-    return np.concatenate([rows, np.full((more, rows.shape[1]), value, rows.dtype)]) if more > 0 else rows
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """np.matmul(x, w), but always added up in the same order: no row of it depends on the rows beside it."""
+    x, w = np.ascontiguousarray(np.swapaxes(x, -1, -2))[..., None, :], w[..., None]
+    out = x[..., 0, :, :] * w[..., 0, :, :]
+    for i in range(1, w.shape[-3]):
+        out += x[..., i, :, :] * w[..., i, :, :]
+    return np.swapaxes(out, -1, -2)
 
 
 class Network:
@@ -120,8 +142,8 @@ class Network:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """(2, words, 3 * HIDDEN): what a word adds to the gates."""
-        parts = [np.matmul(_filled(x[k : k + SIDE_BY_SIDE], 0)[None], self.w["input"]) + self.w["bias"] for k in range(0, len(x), SIDE_BY_SIDE)]
-        return np.concatenate([np.empty((2, 0, 3 * HIDDEN), np.float32), *parts], axis=1)[:, : len(x)]
+        parts = [_product(x[None, k : k + SIDE_BY_SIDE], self.w["input"]) + self.w["bias"] for k in range(0, len(x), SIDE_BY_SIDE)]
+        return np.concatenate([np.empty((2, 0, 3 * HIDDEN), np.float32), *parts], axis=1)
 
     def states(self, gates: np.ndarray, at: np.ndarray, keep: list | None = None) -> np.ndarray:
         """(LENGTH, windows, 2 * HIDDEN) for windows `at` of indices into gates; keep gets what the way back needs."""
@@ -132,7 +154,7 @@ class Network:
         for t in range(LENGTH):
             pair = (t, LENGTH - 1 - t)
             gx = np.stack([gates[d][at[:, p]] for d, p in enumerate(pair)])
-            gh = np.matmul(h, self.w["state"])
+            gh = _product(h, self.w["state"])
             rz = _sigmoid(gx[..., : 2 * HIDDEN] + gh[..., : 2 * HIDDEN])
             reset, update = rz[..., :HIDDEN], rz[..., HIDDEN:]
             new = np.tanh(gx[..., 2 * HIDDEN :] + reset * gh[..., 2 * HIDDEN :])
@@ -145,15 +167,15 @@ class Network:
 
     def pooled(self, states: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Attention weights, pooled states and logits of the windows."""
-        a = np.where(at.T >= 0, states @ self.w["attend"], -1e9)
+        a = np.where(at.T >= 0, (states * self.w["attend"]).sum(axis=2), -1e9)
         a = np.exp(a - a.max(axis=0))
-        a /= a.sum(axis=0)
-        c = np.einsum("tb,tbh->bh", a, states)
-        return a, c, c @ self.w["out"] + self.w["base"][0]
+        a /= np.ascontiguousarray(a.T).sum(axis=1)  # in one order, even where there is one window
+        c = (a[..., None] * states).sum(axis=0)
+        return a, c, (c * self.w["out"]).sum(axis=1) + self.w["base"][0]
 
     def logits(self, gates: np.ndarray, at: np.ndarray) -> np.ndarray:
-        parts = [_filled(at[k : k + SIDE_BY_SIDE], -1) for k in range(0, len(at), SIDE_BY_SIDE)]
-        return np.concatenate([np.empty(0, np.float32), *(self.pooled(self.states(gates, p), p)[2] for p in parts)])[: len(at)]
+        parts = [at[k : k + SIDE_BY_SIDE] for k in range(0, len(at), SIDE_BY_SIDE)]
+        return np.concatenate([np.empty(0, np.float32), *(self.pooled(self.states(gates, p), p)[2] for p in parts)])
 
     def gradients(self, word, gram, n, at, counts, labels, weights) -> dict[str, np.ndarray]:
         """Of the weighted log loss of documents, each the soft maximum of its windows; every document has a window."""
@@ -209,8 +231,7 @@ class Network:
 def _indexed(texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     known: dict[str, int] = {}
     ids = [np.array([known.setdefault(t, len(known)) for t in x], np.int64) for x in texts]
-    parts = [word_inputs(t) for t in known]
-    return ids, np.array([p[0] for p in parts]), np.array([b for p in parts for b in p[1]]), np.array([len(p[1]) for p in parts])
+    return ids, *word_inputs(list(known))
 
 
 def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Network | None:
@@ -249,18 +270,16 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.table = np.empty((2, 4096, 3 * HIDDEN), np.float32)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if not new:
-            return
-        parts = [word_inputs(w) for w in new]
-        gates = self.net.gates(self.net.inputs(np.array([p[0] for p in parts]), np.array([b for p in parts for b in p[1]]), np.array([len(p[1]) for p in parts])))
         start = len(self.known)
         if start + len(new) > self.table.shape[1]:
             larger = np.empty((2, 2 * (start + len(new)), 3 * HIDDEN), np.float32)
             larger[:, :start] = self.table[:, :start]
             self.table = larger
-        self.table[:, start : start + len(new)] = gates
+        for k in range(0, len(new), LEARNED_AT_ONCE):
+            some = new[k : k + LEARNED_AT_ONCE]
+            self.table[:, start + k : start + k + len(some)] = self.net.gates(self.net.inputs(*word_inputs(some)))
         self.known.update(zip(new, range(start, start + len(new)), strict=True))
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -268,26 +287,28 @@ class Scorer:
         if self.net is None:
             return [0.0] * len(texts)
         best = np.full(len(texts), -np.inf)
-        todo: list[np.ndarray] = []
+        todo: list[list[str]] = []
         of: list[int] = []
 
         def flush() -> None:
-            at, counts = laid_out(todo)
+            if len(self.known) > REMEMBERED:
+                self.forget()
+            self.learn(chain.from_iterable(todo))
+            at, counts = laid_out([np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in todo])
             if len(at):
                 np.maximum.at(best, np.repeat(np.array(of, np.int64), counts), self.net.logits(self.table, at))
             todo.clear()
             of.clear()
 
+        waiting = 0
         for i, text in enumerate(texts):
-            if len(self.known) > REMEMBERED:
-                flush()
-                self.forget()
             for words in parts_of(text or ""):
-                self.learn(words)
-                todo.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+                todo.append(words)
                 of.append(i)
-                if len(words) > 50_000:
+                waiting += len(words)
+                if waiting > WAITING:
                     flush()
+                    waiting = 0
         flush()
         return (1 / (1 + np.exp(-np.clip(best, -700, 700))) * np.isfinite(best)).tolist()
 
