@@ -209,7 +209,67 @@ def src_icd10(spark, d):
     return S.read_icd10(spark, _written(_part(spark, d, chapter), "tabular.xml", "text"))
 
 
-_EXTRA = "'{\"brand\": \"' || p_brand || '\"' || CASE WHEN p_size > 25 THEN ', \"sizes\": [\"' || p_size || '\", \"big\"]' ELSE '' END || '}'"
+def _letters(spark, d, body: str, name: str) -> str:
+    """One document with a letter for each part."""
+    return _xml(spark, d, f"'<letter><title>L</title><mainTerm>' || {body} || '</mainTerm></letter>' AS value", name)
+
+
+@query("""SELECT p_name AS index_term, 0 AS index_level, 'A' || p_partkey AS icd10_code FROM part UNION SELECT p_name || ' with', 1, 'B' || p_partkey FROM part
+UNION SELECT p_name || ' with big', 2, 'C' || p_partkey FROM part WHERE p_size > 25 UNION SELECT p_name || ' with', 2, 'D' || p_partkey FROM part WHERE p_size <= 25""")
+def src_icd10_index(spark, d):
+    deep = "CASE WHEN p_size > 25 THEN '<term level=\"2\"><title> big </title><code>C' || p_partkey || '</code></term>' ELSE '<term level=\"2\"><code> D' || p_partkey || '</code><code> </code></term>' END"
+    body = f"'<title>' || p_name || ' </title><code>A' || p_partkey || '</code><term level=\"1\"><title>with<nemod>(x)</nemod></title><code>B' || p_partkey || '</code><code>B' || p_partkey || '</code>' || {deep} || '</term>'"
+    return S.read_icd10_terms(spark, _letters(spark, d, body, "index.xml"), "index")
+
+
+@query("""SELECT p_name AS index_term, 0 AS index_level, 'benign' AS neoplasm_kind, 'D' || p_partkey AS icd10_code FROM part UNION SELECT p_name || ' skin', 1, CASE WHEN p_size > 25 THEN 'malignant_primary' ELSE '' END, 'C' || p_partkey FROM part""")
+def src_icd10_neoplasm(spark, d):
+    body = "'<title>' || p_name || '</title><cell col=\"5\"> D' || p_partkey || '</cell><cell col=\"6\">--</cell><cell col=\"7\"/><term><title>skin</title><cell col=\"' || CASE WHEN p_size > 25 THEN 2 ELSE 9 END || '\">C' || p_partkey || '</cell></term>'"
+    return S.read_icd10_terms(spark, _letters(spark, d, body, "neoplasm.xml"), "neoplasm")
+
+
+@query("""SELECT p_name || ' (salt)' AS substance, 'assault' AS drug_intent, 'T' || p_partkey AS icd10_code, 1 AS index_level FROM part UNION SELECT 'lotion', 'underdosing', 'U' || p_partkey, 2 FROM part""")
+def src_icd10_drugs(spark, d):
+    body = "'<title>' || p_name || ' <nemod>(salt)</nemod></title><cell col=\"4\">T' || p_partkey || '</cell><cell col=\"2\">-</cell><term><title>lotion</title><cell col=\"7\">U' || p_partkey || '</cell></term><term><title> </title><cell col=\"7\">V</cell></term>'"
+    return S.read_icd10_terms(spark, _letters(spark, d, body, "drug.xml"), "drug")
+
+
+@query("SELECT 'Q' || p_partkey AS mesh_id, p_name AS entity_name, 'qual' AS category, 'mesh' AS src_db FROM part UNION ALL SELECT 'C' || p_partkey, p_brand, 'supp', 'mesh' FROM part")
+def src_mesh_names(spark, d):
+    record = lambda kind, ui, name, k, n: f"'<{kind}Record><{ui}>{k}' || p_partkey || '</{ui}><{name}><String>' || {n} || '</String></{name}></{kind}Record>' AS value"
+    qualifiers = _xml(spark, d, record("Qualifier", "QualifierUI", "QualifierName", "Q", "p_name"), "qual.xml")
+    supplements = _xml(spark, d, record("Supplemental", "SupplementalRecordUI", "SupplementalRecordName", "C", "p_brand"), "supp.xml")
+    tables = S.standard_tables(spark, {"mesh__qualifiers": qualifiers, "mesh__supplements": supplements})
+    return tables["mesh__qualifiers"].unionByName(tables["mesh__supplements"])
+
+
+_SUBSTANCES = "'<PharmacologicalAction><DescriptorReferredTo><DescriptorUI>D' || p_size || '</DescriptorUI><DescriptorName><String>Action ' || p_size || '</String></DescriptorName></DescriptorReferredTo><PharmacologicalActionSubstanceList>' || CASE WHEN p_partkey % 3 > 0 THEN '<Substance><RecordUI>C' || p_partkey || '</RecordUI><RecordName><String>' || p_name || '</String></RecordName></Substance><Substance><RecordUI>C0</RecordUI></Substance>' ELSE '' END || '</PharmacologicalActionSubstanceList></PharmacologicalAction>' AS value"
+
+
+@query("SELECT DISTINCT 'D' || p_size AS mesh_id, 'Action ' || p_size AS entity_name, 'pa' AS category, 'mesh' AS src_db FROM part")
+def src_mesh_action_names(spark, d):
+    return S.standard_tables(spark, {"mesh__actions": _xml(spark, d, _SUBSTANCES, "pa.xml")})["mesh__actions"]
+
+
+@query("SELECT 'D' || p_size AS descriptor_ui, 'C' || p_partkey AS substance_ui, p_name AS substance_name FROM part WHERE p_partkey % 3 > 0 UNION SELECT 'D' || p_size, 'C0', NULL FROM part WHERE p_partkey % 3 > 0")
+def src_mesh_substances(spark, d):
+    return S.standard_tables(spark, {"mesh__substances": _xml(spark, d, _SUBSTANCES, "pa.xml")})["mesh__substances"]
+
+
+@query("SELECT '9606' AS tax_id, CAST(p_partkey AS VARCHAR) AS ncbi_gene_id, p_name AS gene_symbol, 'a \"b|' || p_brand AS gene_alias, p_type AS gene_description FROM part")
+def src_ncbi_genes(spark, d):
+    raw = _part(spark, d, "'9606' AS `#tax_id`", "p_partkey AS GeneID", "p_name AS Symbol", "'a \"b|' || p_brand AS Synonyms", "'-' AS unlisted", "p_type AS description")
+    return S.standard_tables(spark, {"ncbi__gene": _written(raw, "gene_info.tsv", sep="\t", quote="")})["ncbi__gene"]
+
+
+@query("""SELECT o_orderpriority AS relation_type, CAST(c_custkey AS VARCHAR) AS source_entity_index, c_name AS source_entity_name, CAST(o_orderkey AS VARCHAR) AS target_entity_index, 'drug' AS target_entity_type FROM orders JOIN customer ON o_custkey = c_custkey""")
+def src_primekg_relations(spark, d):
+    raw = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    raw = raw.selectExpr("o_orderpriority AS relation", "c_custkey AS x_index", "c_name AS x_name", "o_orderkey AS y_index", "'drug' AS y_type")
+    return S.standard_tables(spark, {"primekg__relations": _written(raw, "kg.csv"), "unread": "/nowhere"}, ["primekg__relations"])["primekg__relations"]
+
+
+_EXTRA = "{\"brand\": \"' || p_brand || '\"' || CASE WHEN p_size > 25 THEN ', \"sizes\": [\"' || p_size || '\", \"big\"]' ELSE '' END || '}'"
 
 
 @query(f"""SELECT p_name AS entity_name, p_type AS entity_type, 'k' || p_partkey AS primary_info, {_EXTRA} AS extra_json, 'parts.csv' AS source_file FROM part WHERE p_partkey % 5 > 0
