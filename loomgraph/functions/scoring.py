@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.params import OTHER_PRIOR, RELATION_TYPES, SAME_TYPE_PRIOR, TYPE_PAIR_PRIOR, SourceWeights
+from loomgraph.params import CHART_RELATION_TYPES, OTHER_PRIOR, RELATION_TYPES, SAME_TYPE_PRIOR, TYPE_PAIR_PRIOR, SourceWeights
 
 
 def lookup(table: dict) -> Column:
@@ -49,6 +49,12 @@ def relation_type(text: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup(spelled), F.lower(raw)), raw)
 
 
+def chart_relation_type(text: Column) -> Column:
+    """One of five types by its spellings in their own case, else `Unknown`."""
+    spelled = {a: canon for canon, names in CHART_RELATION_TYPES.items() for a in names}
+    return F.coalesce(F.try_element_at(lookup(spelled), F.trim(F.coalesce(text, F.lit("")))), F.lit("Unknown"))
+
+
 def min_max(df: DataFrame, columns: dict[str, str], constant: float = 0.0) -> DataFrame:
     """df with each column's values scaled to 0..1 under its new name; a constant column gives `constant`.
 

@@ -67,6 +67,31 @@ def evidence_in(evidence: Column, text: Column) -> Column:
     return bare(text).contains(bare(evidence))
 
 
+def covering_sentences(text: Column, offsets: Column) -> Column:
+    """The sentences that hold one of the offsets (array of start and end, from 0, end exclusive) whole, joined by spaces.
+
+    Where none does, the sentence that starts nearest to the first offset, of equally near ones the first; null without
+    text or offsets. A sentence ends at `.`, `!` or `?` before white space.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:(?<=[.!?])\s+|$)"), F.lit(0))
+    first = F.get(offsets, 0)["start"].cast("long")
+
+    def step(state: Column, piece: Column) -> Column:
+        at = state["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"^\s+", ""))
+        body = F.regexp_replace(piece, r"^\s+|\s+$", "")
+        holds = F.exists(offsets, lambda o: (o["start"] >= at) & (o["end"] <= at + F.length(body)))
+        found = F.when(holds, F.concat(state["found"], F.array(body))).otherwise(state["found"])
+        far = F.abs(first - at)
+        nearer = state["far"].isNull() | (far < state["far"])
+        return F.struct(
+            (state["at"] + F.length(piece)).alias("at"), found.alias("found"),
+            F.when(nearer, far).otherwise(state["far"]).alias("far"), F.when(nearer, body).otherwise(state["near"]).alias("near"),
+        )
+
+    start = F.expr("named_struct('at', 0L, 'found', CAST(array() AS array<string>), 'far', CAST(NULL AS bigint), 'near', CAST(NULL AS string))")
+    return F.aggregate(pieces, start, step, lambda s: F.when(F.size(s["found"]) > 0, F.array_join(s["found"], " ")).when(first.isNotNull(), s["near"]))
+
+
 def first_sentence(text: Column, needle: Column) -> Column:
     """The first sentence with the needle, in any case; null if none has it."""
     found = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.instr(F.lower(s), F.lower(needle)) > 0)

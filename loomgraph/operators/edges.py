@@ -112,6 +112,11 @@ def node_scores(stats: DataFrame, alpha: float = 0.6) -> DataFrame:
     return scaled.withColumn("score", alpha * F.col("degree_norm") + (1 - alpha) * F.col("strength_norm"))
 
 
+def importance(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """(entity_id, importance): the weight of a node's edges, scaled to 0..1 over all nodes; 0 where all are alike."""
+    return min_max(node_stats(edges, weight), {"strength": "importance"}).select("entity_id", "importance")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in nodes (entity_id)."""
     for end in ("u", "v"):

@@ -39,6 +39,31 @@ RELATION_TYPES = {
         "interaction & feedback", "interaction & feedback relationships", "interaction", "feedback", "association & feedback", "association & interaction", "competitive", "connected", "interaction &feedback",
     ],
 }
+# Spellings of relation types in charts, in this very case; of a spelling in two lists the later counts.
+CHART_RELATION_TYPES = {
+    "Causal": [
+        "Causal", "CAusal", "CAUSAL", "causal", "Causes", "Causality", "Causation", "Causal Relationships", "Causal Relationship", "Causative", "Cause", "cause", "Association & Causality",
+        "Association & Causal", "Association & Causation", "Influence", "Influences", "Influenced by", "Influenced", "Affects", "Induces", "Direct", "Inverse", "Outcome", "Predictive", "Mediation",
+        "Mediating", "Etiological", "Evidence Supporting", "Evidence-based", "Protective", "Treatment", "Intervention", "Involved in", "Causative Relationship", "Cause-effect",
+    ],
+    "Association": [
+        "Association", "ASSOCIATION", "Associative", "associative", "Associational", "Associated", "ASSOCIATED", "Associated with", "associated with", "Associated With", "ASSOC",
+        "Association Relationships", "Association Relationship", "Association & Linkage", "Association & Link", "Association & Correlation", "Association &", "Association & Structural",
+        "Association & Feedback", "Association & Interaction", "Connection", "ASSOCIATIVE", "No association", "Negative association", "Negative Association", "Positive", "Comparison", "Compared",
+        "Correlation", "Observational", "Relevant", "Evaluation", "Evidence-based", "Trend", "Process", "Descriptive", "Exploratory", "No Relationship", "associated", "Associative Relationships",
+        "Relationship", "Associative Relationship", "Positive association", "Positive Association", "association",
+    ],
+    "Regulatory": ["Regulatory", "REGULATORY", "regulatory", "Regulate", "Regulatory Relationships", "Regulatory Relationship", "Regulates", "REG", "Regulation", "REGulatory"],
+    "Structural/Belonging": [
+        "Structural/Belonging", "Structural/Belonging Relationships", "Structural/Belonging Relationship", "structural/belonging", "STRUCTURAL/BELONGING", "structural/Belonging", "Part Relationship",
+        "Structural", "structural", "STRUCTURAL", "Structural Relationship", "Structural relationship", "structural relationship", "Belonging", "BELONGING", "Belonging Relationships", "Belongs to",
+        "Part-Whole", "Part of", "Part", "component of", "Component", "Subset", "Whole", "Instance", "Classification", "Part-of", "APP feature", "BELONGS_TO", "Structural/Biological",
+    ],
+    "Interaction & Feedback": [
+        "Interaction & Feedback", "INTERACTION & FEEDBACK", "interaction & feedback", "Interaction & Feedback Relationships", "Interaction", "Feedback", "Association & Feedback",
+        "Association & Interaction", "Competitive", "Connected", "INTERACTION &FEEDBACK",
+    ],
+}
 CLASSES = ["BMC", "EGR", "ASPKM", "CRD", "APP", "SCN", "AAI", "CRBC", "NM", "EF"]
 ALLOWED_RELATIONS = ["Causal", "Regulatory", "Interaction & Feedback", "Association"]
 TYPE_PAIR_PRIOR = {("BMC", "EGR"): 1.0, ("BMC", "AAI"): 1.0, ("BMC", "ASPKM"): 0.95, ("BMC", "APP"): 0.80, ("BMC", "CRD"): 0.85, ("BMC", "NM"): 0.80, ("BMC", "SCN"): 0.75}

@@ -257,3 +257,17 @@ def relation_search(spark, d):
 def merged_entities(spark, d):
     rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("confidence"), F.col("o_orderpriority").alias("description"), F.array(F.col("o_orderstatus")).alias("synonyms"))
     return N.merge_duplicates(rows).select(F.col("name").alias("u"), F.col("n_merged").alias("n_rows"), "confidence")
+
+
+_SAID = "' Alpha ' || p_name || '.  Beta v1.5 here! Gamma ' || p_brand || ' end'"
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Alpha ' || p_name || '. Gamma ' || p_brand || ' end' WHEN 1 THEN 'Beta v1.5 here!' WHEN 2 THEN 'Alpha ' || p_name || '.' END AS sentences FROM part""")
+def sentences_covering(spark, d):
+    """Offsets in the first and last sentence; in the second; over the end of the first; none at all."""
+    text, n = F.expr(_SAID), F.length("p_name")
+    pair = lambda a, b: F.struct(F.lit(a).alias("start") if isinstance(a, int) else a.alias("start"), F.lit(b).alias("end") if isinstance(b, int) else b.alias("end"))
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
+    offsets = F.expr("p_partkey % 4")
+    where = F.when(offsets == 0, F.array(pair(F.length(text) - 3, F.length(text)), pair(1, 6))).when(offsets == 1, F.array(pair(n + 15, n + 19))).when(offsets == 2, F.array(pair(3, n + 12))).otherwise(none)
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.covering_sentences(text, where).alias("sentences"))

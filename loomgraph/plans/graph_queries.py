@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scoring import relation_type
+from loomgraph.functions.scoring import chart_relation_type, relation_type
 from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import evaluation as V
 from loomgraph.operators import graph as G
-from loomgraph.params import CLASSES, ENTITY_SOURCES, RELATION_SOURCES, RELATION_TYPES, SUBGRAPH_SOURCES, TYPE_PAIR_PRIOR, Aging, Selection, SourceWeights
+from loomgraph.params import CHART_RELATION_TYPES, CLASSES, ENTITY_SOURCES, RELATION_SOURCES, RELATION_TYPES, SUBGRAPH_SOURCES, TYPE_PAIR_PRIOR, Aging, Selection, SourceWeights
 from loomgraph.plans.views import plain, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,3 +400,19 @@ def graph_clean(spark, d):
 def heatmap_cells(spark, d):
     nodes = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity_id"))
     return _rounded(G.seed_grid(view(spark, d, "nation_edges"), nodes, view(spark, d, "seeds_aging")))
+
+
+_CHART = ", ".join(f"({k}, '{a}', '{c}')" for k, (c, a) in enumerate((c, a) for c, names in CHART_RELATION_TYPES.items() for a in names))
+
+
+@query(f"""WITH m AS (SELECT a, arg_max(c, k) AS c FROM (VALUES {_CHART}) t(k, a, c) GROUP BY a), v AS ({plain('rel')})
+SELECT coalesce(m.c, 'Unknown') AS relation_type, count(*) AS n FROM (SELECT CASE WHEN source_entity_id LIKE '%5' THEN 'Evidence-based' WHEN source_entity_id LIKE '%6' THEN upper(relation_type) ELSE ' ' || relation_type END AS t FROM v) x LEFT JOIN m ON m.a = trim(t) GROUP BY 1""")
+def chart_relation_types(spark, d):
+    said = F.expr("CASE WHEN source_entity_id LIKE '%5' THEN 'Evidence-based' WHEN source_entity_id LIKE '%6' THEN upper(relation_type) ELSE ' ' || relation_type END")
+    return view(spark, d, "rel").groupBy(chart_relation_type(said).alias("relation_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH x AS (SELECT entity_id, CAST(sum(w) AS DOUBLE) AS s FROM (SELECT u AS entity_id, w FROM ({plain('nation_edges')}) a UNION ALL SELECT v, w FROM ({plain('nation_edges')}) b) e GROUP BY entity_id)
+SELECT entity_id, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 9) AS importance FROM x""")
+def node_importance(spark, d):
+    return E.importance(view(spark, d, "nation_edges"), "w").select("entity_id", F.round("importance", 9).alias("importance"))
