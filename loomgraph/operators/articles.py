@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import first_per
+from loomgraph.operators.lookups import literal_of, matched_patterns
+from loomgraph.operators.quantiles import at_least_quantile, hashed
 from loomgraph.operators.tables import matched_by_key, snippet_places
 from loomgraph.params import SYNONYM_TRIGGERS
+from loomgraph.session import checkpointed
 
 _CONTENT = (
     "entities array<struct<entity_text:string,entity_type:string,evidence:string>>, "
     "relationships array<struct<source_entity:string,source_entity_id:string,target_entity:string,target_entity_id:string,relation_type:string,confidence:string,evidence:string>>"
 )
 
-#: Seeds that are looked up by a pattern at most: every name is compared with each of them.
-MAX_PATTERNS = 10_000
-
-
 def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -117,10 +116,10 @@ def seed_ids(seeds: DataFrame, names: DataFrame, weights: DataFrame, banned: lis
     upper = F.upper(F.trim("seed"))
     own = F.when(upper.rlike(plain), F.concat(F.lit(r"\b"), upper, F.lit(r"\b"))).otherwise(F.concat(F.lit(r"\Q"), upper, F.lit(r"\E")))
     more = [F.when(upper.rlike(t), F.lit("|".join(alternatives))) for t, alternatives in SYNONYM_TRIGGERS.items()]
-    patterns = missed.where(F.trim("seed") != "").select("seed", F.concat(F.lit("(?i)"), F.concat_ws("|", own, *more)).alias("pattern"))
-    if patterns.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} seeds equal no name")
-    found = names.join(F.broadcast(patterns), F.expr("name RLIKE pattern")).select("entity_id", "seed").distinct().withColumn("mode", F.lit("regex"))
+    needs = [F.when(upper.rlike(t), F.array(*(F.lit(literal_of(x)) for x in alternatives))) for t, alternatives in SYNONYM_TRIGGERS.items()]
+    needs = F.flatten(F.array_compact(F.array(F.array(upper), *needs)))
+    patterns = missed.where(F.trim("seed") != "").select("seed", F.concat(F.lit("(?i)"), F.concat_ws("|", own, *more)).alias("pattern"), needs.alias("needs"))
+    found = matched_patterns(names, checkpointed(patterns)).withColumn("mode", F.lit("regex"))
     out = exact.unionByName(found).where(~F.coalesce(F.col("entity_id").isin(list(banned)), F.lit(False)))
     return out.join(weights.groupBy("entity_id").agg(F.max("weight").alias("weight")), "entity_id", "left").select("seed", "entity_id", "mode", "weight")
 
@@ -158,8 +157,7 @@ def matrix_scaled(cells: DataFrame, row: str, value: str) -> DataFrame:
 def strongest_columns(cells: DataFrame, column: str, value: str, quantile: float) -> DataFrame:
     """(column, total, mean, top) of the columns whose total reaches a quantile of the totals."""
     sums = cells.groupBy(column).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("top"))
-    edge = sums.agg(F.percentile("total", F.lit(quantile)).alias("edge"))
-    return sums.crossJoin(F.broadcast(edge)).where("total >= edge").drop("edge")  # one row
+    return at_least_quantile(sums, "total", quantile)
 
 
 def balance(scored: DataFrame, types: list[str] | None = None, without: list[str] = (), keep: list[str] = (), expression: str | None = None, least: float = 0.0) -> DataFrame:
@@ -181,4 +179,4 @@ def balance(scored: DataFrame, types: list[str] | None = None, without: list[str
 
 def sampled(df: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:
     """About a share of the rows, the same ones for the same seed, however the rows lie."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < round(share * 1_000_000))
+    return df.where(hashed(seed, *keys) < share * 2.0**52)

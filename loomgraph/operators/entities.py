@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scoring import min_max, recency, with_source_weights
 from loomgraph.functions.text import bad_name, clean_entity_name
 from loomgraph.operators import first_per, ranked, require_columns
+from loomgraph.operators.quantiles import at_least_quantile
 from loomgraph.params import CLASSES, ENTITY_SOURCES, ENTITY_WEIGHTS, QUALITY_WEIGHTS, Aging, Selection, SourceWeights
 
 
@@ -43,8 +44,7 @@ def select_entities(weights: DataFrame, types: list[str] = CLASSES, s: Selection
     if s.primary_only:
         out = out.where("rank_in_entity = 1")
     if s.min_weight_norm is None:
-        edge = out.groupBy("entity_type").agg(F.percentile("weight_norm", F.lit(s.quantile)).alias("__edge"))
-        out = out.join(F.broadcast(edge), "entity_type").where("weight_norm >= __edge").drop("__edge")  # a row a type
+        out = at_least_quantile(out, "weight_norm", s.quantile, "entity_type")
     else:
         out = out.where(F.col("weight_norm") >= s.min_weight_norm)
     return out.where((F.col("evidence_count") >= s.min_evidence) & (F.col("sources_unique") >= s.min_sources))

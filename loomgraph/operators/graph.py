@@ -9,6 +9,7 @@ from loomgraph.functions.scoring import bridge, min_max, type_pair_prior, with_s
 from loomgraph.operators import first_per
 from loomgraph.operators.edges import induced, merged_edges, node_stats, undirected, weighted_counts
 from loomgraph.operators.entities import quality
+from loomgraph.operators.quantiles import at_least_quantile, exact_quantiles
 from loomgraph.params import SUBGRAPH_SOURCES, Mining, Seeded
 from loomgraph.session import checkpointed
 
@@ -123,7 +124,8 @@ def confidence_edges(relations: DataFrame, nodes: DataFrame, p: Seeded = Seeded(
     part = part.groupBy("u", "v", "label").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("w"), F.max("w").alias("top"))
     out = part.groupBy("u", "v").agg(F.sum("n").alias("count"), F.sum("w").alias("weight_sum"), F.max("top").alias("weight_max"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("reltype_top"))
     out = checkpointed(out.where(F.col("count") >= p.min_count).withColumn("confidence", F.col("weight_sum")))
-    ends = out.agg(F.percentile("confidence", F.lit(p.quantile)).alias("cap"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
+    cap = exact_quantiles(out, "confidence", p.quantile).get("")
+    ends = out.agg(F.lit(cap).cast("double").alias("cap"), F.min("confidence").alias("low"), F.max("confidence").alias("high"))
     out = out.crossJoin(F.broadcast(ends))  # one row
     scaled = lambda x, high: F.when(high > F.col("low"), (x - F.col("low")) / (high - F.col("low"))).otherwise(0.0)
     out = out.withColumns({"conf_norm_mm": scaled(F.col("confidence"), F.col("high")), "conf_norm_q": scaled(F.least("confidence", "cap"), F.col("cap"))})
@@ -137,8 +139,7 @@ def final_edges(edges: DataFrame, types: DataFrame, p: Seeded = Seeded()) -> Dat
         out = out.join(types.select(F.col("entity_id").alias(end), F.col("entity_type").alias(f"type_{end}")), end, "left")
     kind = lambda e: F.coalesce(f"type_{e}", F.lit("Other"))
     out = out.withColumn("w_final", F.col("conf_norm_q") * type_pair_prior(kind("u"), kind("v")))
-    edge = out.agg(F.percentile("w_final", F.lit(p.min_quantile)).alias("edge"))
-    out = out.crossJoin(F.broadcast(edge)).where("w_final >= edge")  # one row
+    out = at_least_quantile(out, "w_final", p.min_quantile)
     if p.top_edges:
         out = out.orderBy(F.desc("w_final"), "u", "v").limit(p.top_edges)
     return merged_edges(out)
