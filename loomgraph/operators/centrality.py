@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import checkpointed
+from loomgraph.session import written
 
 
 def sources_needed(nodes: int, error: float, failure: float = 0.1) -> int:
@@ -42,7 +42,7 @@ def _by_steps(arcs: DataFrame, sources: DataFrame) -> DataFrame:
         step = levels[-1].withColumnRenamed("node", "src").join(arcs, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         for seen in levels[-2:]:
             step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        step = checkpointed(step)
+        step = written(step)
         if not step.take(1):
             break
         levels.append(step)
@@ -52,7 +52,7 @@ def _by_steps(arcs: DataFrame, sources: DataFrame) -> DataFrame:
         parts.append(later.where("node <> source").select("node", "part"))
         share = later.select("source", F.col("node").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
         back = share.join(arcs, "dst").select("source", F.col("src").alias("node"), "share").groupBy("source", "node").agg(F.sum("share").alias("more"))
-        later = checkpointed(level.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("more", F.lit(0.0))).alias("part")))
+        later = written(level.join(back, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("more", F.lit(0.0))).alias("part")))
     total = parts[0] if parts else later.where("false").select("node", "part")
     for part in parts[1:]:
         total = total.union(part)
@@ -61,13 +61,13 @@ def _by_steps(arcs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _distances(arcs: DataFrame, sources: DataFrame, digits: int) -> DataFrame:
     """(source, node, dist) of all nodes that a source reaches: each round hands on what became shorter in the last."""
-    best = checkpointed(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
+    best = written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")))
     while True:
         step = best.where("new").select("source", F.col("node").alias("src"), "dist").join(arcs, "src")
         step = step.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.round(F.col("dist") + F.col("len"), digits)).alias("near"))
         both = best.drop("new").join(step, ["source", "node"], "full")
         shorter = F.coalesce(F.col("near") < F.col("dist"), F.col("dist").isNull())
-        best = checkpointed(both.select("source", "node", F.when(shorter, F.col("near")).otherwise(F.col("dist")).alias("dist"), shorter.alias("new")))
+        best = written(both.select("source", "node", F.when(shorter, F.col("near")).otherwise(F.col("dist")).alias("dist"), shorter.alias("new")))
         if not best.where("new").take(1):
             return best.drop("new")
 
@@ -78,23 +78,23 @@ def _by_lengths(arcs: DataFrame, sources: DataFrame, digits: int) -> DataFrame:
     dist = _distances(arcs, sources, digits)
     at = lambda name, far: dist.select("source", F.col("node").alias(name), F.col("dist").alias(far))
     on = at("src", "near").join(arcs, "src").join(at("dst", "far"), ["source", "dst"]).where(F.round(F.col("near") + F.col("len"), digits) == F.col("far"))
-    on = checkpointed(on.select("source", "src", "dst"))  # arcs of shortest paths
+    on = written(on.select("source", "src", "dst"))  # arcs of shortest paths
     layers = dist.select("source", "node", F.lit(0).alias("layer"), (F.col("node") == F.col("source")).alias("new"))
     while layers.where("new").take(1):
         step = layers.where("new").select("source", F.col("node").alias("src"), "layer").join(on, ["source", "src"]).groupBy("source", F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("next"))
         later = F.coalesce(F.col("next") > F.col("layer"), F.lit(False))
-        layers = checkpointed(layers.drop("new").join(step, ["source", "node"], "left").select("source", "node", F.when(later, F.col("next")).otherwise(F.col("layer")).alias("layer"), later.alias("new")))
+        layers = written(layers.drop("new").join(step, ["source", "node"], "left").select("source", "node", F.when(later, F.col("next")).otherwise(F.col("layer")).alias("layer"), later.alias("new")))
     last = layers.agg(F.max("layer")).first()[0] or 0
-    on = checkpointed(on.join(layers.select("source", F.col("node").alias("dst"), "layer"), ["source", "dst"]))
+    on = written(on.join(layers.select("source", F.col("node").alias("dst"), "layer"), ["source", "dst"]))
     paths = layers.where("layer = 0").select("source", "node", F.lit(1.0).alias("paths"), F.lit(0).alias("layer"))
     for k in range(1, last + 1):
         came = on.where(F.col("layer") == k).join(paths.select("source", F.col("node").alias("src"), "paths"), ["source", "src"])
-        paths = checkpointed(paths.union(came.groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"), F.lit(k).alias("layer"))))
+        paths = written(paths.union(came.groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"), F.lit(k).alias("layer"))))
     found = paths.withColumn("part", F.lit(0.0))
     for k in range(last, 0, -1):
         far = found.where(F.col("layer") == k).select("source", F.col("node").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
         back = on.where(F.col("layer") == k).join(far, ["source", "dst"]).groupBy("source", F.col("src").alias("node")).agg(F.sum("share").alias("more"))
-        found = checkpointed(found.join(back, ["source", "node"], "left").select("source", "node", "paths", "layer", (F.col("part") + F.col("paths") * F.coalesce("more", F.lit(0.0))).alias("part")))
+        found = written(found.join(back, ["source", "node"], "left").select("source", "node", "paths", "layer", (F.col("part") + F.col("paths") * F.coalesce("more", F.lit(0.0))).alias("part")))
     return found.where("node <> source").groupBy("node").agg(F.sum("part").alias("part"))
 
 
@@ -105,20 +105,20 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, weighted: bo
     (entity_id) estimate it from shortest paths that begin at them (see sources_needed); without, every node is one and the
     result is exact. `batch` sources are followed at a time, so that what is kept grows with nodes times batch.
     """
-    arcs = checkpointed(_arcs(edges, weighted))
-    nodes = checkpointed(edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct())
+    arcs = written(_arcs(edges, weighted))
+    nodes = written(edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct())
     n = nodes.count()
     start = (nodes if sources is None else sources.select("entity_id").distinct().join(nodes, "entity_id", "left_semi")).withColumnRenamed("entity_id", "source")
     k = start.count()
     if not k or n < 3:
         return nodes.withColumn("betweenness", F.lit(0.0))
     parts = max(1, math.ceil(k / batch))
-    start = checkpointed(start.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts))))
+    start = written(start.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts))))
     total = None
     for at in range(parts):
         some = start.where(F.col("part") == at)
         own = _by_lengths(arcs, some, digits) if weighted else _by_steps(arcs, some)
-        total = checkpointed(own if total is None else total.union(own).groupBy("node").agg(F.sum("part").alias("part")))
+        total = written(own if total is None else total.union(own).groupBy("node").agg(F.sum("part").alias("part")))
     scaled = F.coalesce(F.col("part") * n / k / ((n - 1) * (n - 2)), F.lit(0.0))
     return nodes.join(total.withColumnRenamed("node", "entity_id"), "entity_id", "left").select("entity_id", scaled.alias("betweenness"))
 

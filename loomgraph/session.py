@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder. Lost executors cost nothing of it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own beside the checkpoints.
+
+    For long loops: unlike a checkpoint, what is read back has its real size, and nothing of the plan that made it.
+    """
+    at = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
