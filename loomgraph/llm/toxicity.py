@@ -153,7 +153,7 @@ class Network:
         out = np.empty((LENGTH, b, 2 * HIDDEN), np.float32)
         for t in range(LENGTH):
             pair = (t, LENGTH - 1 - t)
-            gx = np.stack([gates[d][at[:, p]] for d, p in enumerate(pair)])
+            gx = np.stack([gates[d][at[:, p]] for d, p in enumerate(pair)])  # beyond a text's end it is any column's, and isn't used
             gh = _product(h, self.w["state"])
             rz = _sigmoid(gx[..., : 2 * HIDDEN] + gh[..., : 2 * HIDDEN])
             reset, update = rz[..., :HIDDEN], rz[..., HIDDEN:]
@@ -161,7 +161,7 @@ class Network:
             m = np.stack([there[:, p] for p in pair])[..., None]
             if keep is not None:
                 keep.append((h, gh[..., 2 * HIDDEN :], reset, update, new, m))
-            h = h + m * (1 - update) * (new - h)
+            h = np.where(m > 0, h + (1 - update) * (new - h), h)
             out[pair[0], :, :HIDDEN], out[pair[1], :, HIDDEN:] = h[0], h[1]
         return out
 
@@ -268,13 +268,13 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.empty((2, 4096, 3 * HIDDEN), np.float32)
+        self.table = np.zeros((2, 4096, 3 * HIDDEN), np.float32)
 
     def learn(self, words: Iterable[str]) -> None:
         new = list(dict.fromkeys(w for w in words if w not in self.known))
         start = len(self.known)
         if start + len(new) > self.table.shape[1]:
-            larger = np.empty((2, 2 * (start + len(new)), 3 * HIDDEN), np.float32)
+            larger = np.zeros((2, 2 * (start + len(new)), 3 * HIDDEN), np.float32)
             larger[:, :start] = self.table[:, :start]
             self.table = larger
         for k in range(0, len(new), LEARNED_AT_ONCE):

@@ -113,3 +113,16 @@ def test_nulls_empty_and_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert sorted((str(r.doc_id), r.score, r.predicted) for r in toxicity_scores(docs, labels).collect()) == [("1", 0.0, 0), ("2", 0.0, 0), ("3", 0.0, 0), ("3", 0.0, 0), ("None", 0.0, 0)]
     assert toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_unset_memory_is_never_read(monkeypatch):
+    texts = ["hello there you", "a", "", "some words of a longer text " * 9]
+    want = Scorer(Network()).scores(texts)
+
+    class Poisoned(Scorer):
+        def forget(self):
+            super().forget()
+            self.table[:] = np.nan
+
+    got = Poisoned(Network()).scores(texts)
+    assert got == want and np.isfinite(got).all()
