@@ -50,14 +50,15 @@ def strict_clean(text: Column) -> Column:
     return F.when((bare != "") & ~bare.rlike(r"(?U)^[\d\W_]+$"), bare)
 
 
-def source_file(name: Column) -> Column:
-    """`hald_x__y__std.csv` as `x__y`; a path as its file name."""
-    return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"^hald_|__std\.csv$", "")
+def source_file(name: Column, prefix: str = "") -> Column:
+    """`{prefix}x__y__std.csv` as `x__y`; a path as its file name."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"__std\.csv$", "")
+    return F.when(bare.startswith(prefix), F.substr(bare, F.lit(len(prefix) + 1))).otherwise(bare) if prefix else bare
 
 
-def source_label(name: Column) -> Column:
+def source_label(name: Column, prefix: str = "") -> Column:
     """The first part of source_file(), capitalised, with `_` for characters of no word."""
-    base = F.regexp_replace(F.substring_index(source_file(name), "__", 1), r"(?U)[^\w]", "_")
+    base = F.regexp_replace(F.substring_index(source_file(name, prefix), "__", 1), r"(?U)[^\w]", "_")
     return F.concat(F.upper(F.substring(base, 1, 1)), F.lower(F.substr(base, F.lit(2))))
 
 
@@ -108,11 +109,22 @@ def fingerprint(text: Column) -> Column:
     return F.sha1(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w]+", ""))
 
 
+# What is left out of names or spelled otherwise, and the two forms of bracketed parts.
+ALLELE = r"(?i)\b(wt|wild[-\s]*type)\s*allele\b"
+ALLELE_OF_ENTITY = r"(?i)\b(?:wt|wild[-\s]?type)\s*allele\b"
+GREEK = {"α": "alpha", "β": "beta"}
+DASHES = "‐‑‒–—―"
+EDGE_SIGNS = " \t\r\n,;:()[]{}"
+LAST_BRACKET = r"^(.*?)\s*\(([^)]+)\)\s*$"
+ANY_BRACKET = r"\((.*?)\)"
+
+
 def match_name(name: Column) -> Column:
-    """A name without allele suffixes, Greek letters spelled, dashes and spaces normal."""
-    s = F.regexp_replace(F.trim(name), r"(?i)\b(wt|wild[-\s]*type)\s*allele\b", "")
-    s = F.replace(F.replace(s, F.lit("α"), F.lit("alpha")), F.lit("β"), F.lit("beta"))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[‐-―]", "-"), r"\s+", " "))
+    """A name as its words, without allele suffixes, Greek letters spelled and all dashes alike."""
+    plain = F.translate(F.regexp_replace(name, ALLELE, " "), DASHES, "-" * len(DASHES))
+    for letter, word in GREEK.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(word))
+    return F.array_join(F.filter(F.split(plain, r"\s+"), lambda w: w != ""), " ")
 
 
 def match_key(name: Column) -> Column:
@@ -120,8 +132,8 @@ def match_key(name: Column) -> Column:
 
 
 def clean_entity_name(name: Column) -> Column:
-    s = F.regexp_replace(name, r"(?i)\b(?:wt|wild[-\s]?type)\s*allele\b", "")
-    return F.btrim(F.regexp_replace(s, r"\s{2,}", " "), F.lit(" \t\r\n,;:()[]{}"))
+    """An entity's name without allele suffixes, runs of white space and signs at its ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(name, ALLELE_OF_ENTITY, ""), r"\s{2,}", " "), F.lit(EDGE_SIGNS))
 
 
 def bad_name(name: Column) -> Column:
@@ -148,17 +160,12 @@ def bracket_parts(entity: Column) -> Column:
 
     A last bracket alone is cut off; otherwise all brackets are. Nothing is cut without brackets.
     """
-    trailing = r"^(.*?)\s*\(([^)]+)\)\s*$"
-    kind = lambda c: F.struct(c.alias("content"), F.when(abbreviation(c), "abbreviation").otherwise("info").alias("type"))
-    head, inside = F.trim(F.regexp_extract(entity, trailing, 1)), F.trim(F.regexp_extract(entity, trailing, 2))
-    all_parts = F.transform(F.regexp_extract_all(entity, F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: kind(F.trim(x)))
-    rest = F.trim(F.regexp_replace(entity, r"\(.*?\)", ""))
-    none = F.expr("CAST(array() AS array<struct<content: string, type: string>>)")
-    return (
-        F.when(~entity.contains("("), F.struct(entity.alias("main_text"), none.alias("details")))
-        .when(entity.rlike(trailing), F.struct(F.when(head != "", head).otherwise(entity).alias("main_text"), F.array(kind(inside)).alias("details")))
-        .otherwise(F.struct(F.when(rest != "", rest).otherwise(entity).alias("main_text"), all_parts.alias("details")))
-    )
+    last = entity.rlike(LAST_BRACKET)
+    found = F.when(last, F.array(F.regexp_extract(entity, LAST_BRACKET, 2))).otherwise(F.regexp_extract_all(entity, F.lit(ANY_BRACKET), F.lit(1)))
+    rest = F.trim(F.when(last, F.regexp_extract(entity, LAST_BRACKET, 1)).when(entity.contains("("), F.regexp_replace(entity, ANY_BRACKET, "")))
+    kind = lambda c: F.when(abbreviation(c), "abbreviation").otherwise("info")
+    details = F.transform(found, lambda x: F.struct(F.trim(x).alias("content"), kind(F.trim(x)).alias("type")))
+    return F.struct(F.coalesce(F.nullif(rest, F.lit("")), entity).alias("main_text"), details.alias("details"))
 
 
 def key_values(text: Column) -> Column:

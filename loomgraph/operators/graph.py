@@ -194,8 +194,16 @@ def candidates(scored: DataFrame, axis: str, k: int = 200) -> DataFrame:
     return scored.where("NOT is_seed").orderBy(F.desc(axis), "entity_id").limit(k)
 
 
+#: Rows of a figure's grid at most.
+MAX_GRID = 5_000_000
+
+
 def seed_grid(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(candidate, seed, w): every pair of two listed node sets, 0 where there is no edge. Both sets are parameters of a figure."""
+    """(candidate, seed, w): every pair of two listed node sets, 0 where there is no edge. Both sets are parameters of a figure,
+    counted first: a grid of more than MAX_GRID pairs is refused."""
+    n, k = nodes.limit(MAX_GRID + 1).count(), seeds.limit(MAX_GRID + 1).count()
+    if n * k > MAX_GRID:
+        raise ValueError(f"{n} times {k} pairs are too many for one grid")
     pairs = nodes.select(F.col("entity_id").alias("candidate")).crossJoin(F.broadcast(seeds.select(F.col("entity_id").alias("seed"))))
     pairs = pairs.withColumns({"u": F.least("candidate", "seed"), "v": F.greatest("candidate", "seed")})
     return pairs.join(edges.select("u", "v", "w"), ["u", "v"], "left").select("candidate", "seed", F.coalesce("w", F.lit(0.0)).alias("w"))

@@ -225,11 +225,11 @@ def medline_fields(spark, d):
 
 @query("""SELECT p_partkey, 'Ageanno' AS label, 'ageanno__' || p_brand AS file, CASE WHEN p_partkey % 3 = 0 THEN '{}' ELSE '{"' || p_name || '","a\\"b\\\\c"}' END AS literal, lower(p_name) AS normal, CASE WHEN p_size > 25 THEN 'DeepSeekV3' ELSE 'OtherModel' END AS model FROM part""")
 def name_functions(spark, d):
-    name = F.expr("'hald_ageanno__' || p_brand || '__std.csv'")
+    name = F.expr("'set_ageanno__' || p_brand || '__std.csv'")
     items = F.expr("CASE WHEN p_partkey % 3 = 0 THEN CAST(array() AS array<string>) ELSE array(p_name, 'a\"b\\\\c') END")
     padded = F.expr("'  _' || upper(p_name) || '. '")
     model = F.expr("CASE WHEN p_size > 25 THEN 'JCRQ1-IF10-DeepSeekV3' ELSE 'x' END")
-    return _table(spark, d, "part").select("p_partkey", T.source_label(name).alias("label"), T.source_file(name).alias("file"), T.pg_array(items).alias("literal"), T.normal_name(padded).alias("normal"), T.model_label(model).alias("model"))
+    return _table(spark, d, "part").select("p_partkey", T.source_label(name, "set_").alias("label"), T.source_file(name, "set_").alias("file"), T.pg_array(items).alias("literal"), T.normal_name(padded).alias("normal"), T.model_label(model).alias("model"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS pmid, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A title' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'no meta' ELSE 'x:y' || doc_id END AS body,
@@ -253,10 +253,43 @@ def relation_search(spark, d):
     return N.relations_between(rel, "C1", "S1").union(N.search_relations(rel, "SUPPLIER 10", ["target_entity_name"])).select("source_entity_id", "target_entity_id", "relation_type")
 
 
-@query("SELECT o_custkey AS u, count(*) AS n_rows, CAST(max(o_totalprice) AS DOUBLE) AS confidence FROM orders GROUP BY 1")
+@query("""SELECT o_custkey AS u, count(*) AS n_rows, CAST(max(o_totalprice) AS DOUBLE) AS confidence, max(struct_pack(n := length(o_orderpriority), d := o_orderpriority)).d AS description,
+string_agg(DISTINCT o_orderstatus, ';' ORDER BY o_orderstatus) AS synonyms FROM orders GROUP BY 1""")
 def merged_entities(spark, d):
     rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("confidence"), F.col("o_orderpriority").alias("description"), F.array(F.col("o_orderstatus")).alias("synonyms"))
-    return N.merge_duplicates(rows).select(F.col("name").alias("u"), F.col("n_merged").alias("n_rows"), "confidence")
+    return N.merge_duplicates(rows).select(F.col("name").alias("u"), F.col("n_merged").alias("n_rows"), "confidence", "description", F.array_join("synonyms", ";").alias("synonyms"))
+
+
+_ENTITIES = "SELECT c_custkey AS entity_id, c_name AS name, c_mktsegment AS entity_type, 'Customer of nation ' || CAST(c_nationkey AS VARCHAR(20)) AS description, CAST(c_acctbal AS DOUBLE) AS confidence FROM {customer}"
+
+
+def _entities(spark, d):
+    return spark.sql(_ENTITIES, customer=_table(spark, d, "customer")).withColumn("synonyms", F.array(F.concat(F.lit("Alias"), F.col("entity_id").cast("string"))))
+
+
+@query(f"SELECT entity_id, name FROM ({_ENTITIES.format(customer='customer')}) x WHERE (contains(lower(name), '12') OR contains(lower(description), '12') OR contains(lower('Alias' || entity_id), '12')) AND entity_type = 'BUILDING'")
+def entity_search(spark, d):
+    """Entities of a type that have a text in their name, description or synonyms."""
+    return N.search(_entities(spark, d), "12", "BUILDING").select("entity_id", "name")
+
+
+@query(f"""WITH e AS ({_ENTITIES.format(customer='customer')}) SELECT entity_type, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM e GROUP BY 1
+UNION ALL SELECT '_ALL_', count(*), round(avg(confidence), 4) FROM e""")
+def entity_statistics(spark, d):
+    """Number and mean confidence of each type of entity, and of all."""
+    return N.statistics(_entities(spark, d)).withColumn("mean_confidence", F.round("mean_confidence", 4))
+
+
+_PRINT = r"sha1(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', '', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT {_PRINT} AS f, min(doc_id) AS text_id FROM documents GROUP BY 1 HAVING count(*) = 1), s AS (SELECT item_id AS sample_id, {_PRINT} AS f FROM benchmark
+UNION ALL SELECT -doc_id, {_PRINT} FROM documents WHERE lang = 'en') SELECT sample_id, text_id FROM s JOIN t ON s.f = t.f""")
+def unique_fingerprints(spark, d):
+    """Samples whose fingerprint is that of exactly one text."""
+    texts = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    samples = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").union(texts.where("lang = 'en'").select(-F.col("id"), "text"))
+    return V.fingerprint_matches(samples, texts.select("id", "text"))
 
 
 _SAID = "' Alpha ' || p_name || '.  Beta v1.5 here! Gamma ' || p_brand || ' end'"

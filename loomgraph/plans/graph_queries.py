@@ -80,6 +80,13 @@ def edges_reltype_json(spark, d):
     return _rounded(E.relation_type_histogram(view(spark, d, "rel")))
 
 
+@query(f"""{_REL}, h AS (SELECT u, v, label, count(*) AS n, row_number() OVER (PARTITION BY u, v ORDER BY count(*) DESC, label) AS k FROM e GROUP BY u, v, label)
+SELECT u, v, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY k) || '}}' AS reltype_json FROM h WHERE k <= 5 GROUP BY u, v""")
+def edges_type_json(spark, d):
+    """The five most frequent types of each edge with their numbers, as a JSON object."""
+    return E.type_json(E.relation_type_histogram(view(spark, d, "rel"), 5))
+
+
 _COUNT = f"""{_REL},
 lab AS (SELECT u, v, raw AS label, count(*) AS n FROM e GROUP BY u, v, raw),
 ctop AS (SELECT u, v, label AS reltype_top FROM (SELECT u, v, label, row_number() OVER (PARTITION BY u, v ORDER BY n DESC, label) AS r FROM lab) x WHERE r = 1),

@@ -15,6 +15,7 @@ from loomgraph.plans.views import plain, view
 from loomgraph.session import checkpoint_folder
 from loomgraph.sources import readers as R
 from loomgraph.sources import standard as S
+from loomgraph.sources.robust import read_robust
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,10 +109,15 @@ def src_index_names(spark, d):
     return S.with_names(_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_index")), names)
 
 
+def _document(rows: DataFrame, signs: list[str], name: str) -> str:
+    """One document, as the datasets are, of rows (part, key, value) and a line before, between and after the parts 1, 3 ...; one task writes its lines in order."""
+    fixed = rows.sparkSession.createDataFrame([(2 * k, "", sign) for k, sign in enumerate(signs)], "part int, key string, value string")
+    return _written(fixed.union(rows.select("part", "key", "value")).repartition(1).sortWithinPartitions("part", "key").select("value"), name, "text")
+
+
 def _xml(spark: SparkSession, d: str, record: str, name: str) -> str:
-    """One document of a record for each part, as the datasets are."""
-    body = _part(spark, d, record).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
-    return _written(body.select(F.concat(F.lit("<Set>"), "value", F.lit("</Set>"))), name, "text")
+    """A document of a record for each part."""
+    return _document(_part(spark, d, record).select(F.lit(1).alias("part"), F.col("value").alias("key"), "value"), ["<Set>", "</Set>"], name)
 
 
 def _rrf(df: DataFrame, name: str, width: int, columns: dict[int, str]) -> str:
@@ -152,10 +158,12 @@ def src_umls_relations(spark, d):
 
 def _graph(spark, d):
     nodes = _table(spark, d, "customer").selectExpr("c_custkey AS identifier", "CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name", "'Gene' AS kind", "named_struct('source', c_mktsegment, 'url', CAST(NULL AS STRING)) AS data")
-    edges = _table(spark, d, "orders").selectExpr("array('Gene', CAST(o_custkey AS STRING)) AS source_id", "array('Order', CAST(-o_orderkey AS STRING)) AS target_id", "o_orderpriority AS kind", "CASE WHEN o_orderkey % 2 = 0 THEN 'forward' END AS direction", "named_struct('unbiased', o_orderkey % 3 = 0) AS data")
-    one = lambda df, n: df.agg(F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n").alias(n))  # noqa: E731  the stand-in is one document, as the dataset is
-    doc = one(nodes, "n").crossJoin(F.broadcast(one(edges, "e")))  # one row
-    return S.read_graph_json(spark, _written(doc.select(F.concat(F.lit('{"nodes": ['), "n", F.lit('], "edges": ['), "e", F.lit("]}"))), "graph.json", "text"))
+    edges = _table(spark, d, "orders").selectExpr("o_orderkey AS k", "array('Gene', CAST(o_custkey AS STRING)) AS source_id", "array('Order', CAST(-o_orderkey AS STRING)) AS target_id", "o_orderpriority AS kind", "CASE WHEN o_orderkey % 2 = 0 THEN 'forward' END AS direction", "named_struct('unbiased', o_orderkey % 3 = 0) AS data")
+    line = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != "k"])).alias("value"))
+    rows = line(nodes, 1, "identifier").union(line(edges, 3, "k"))
+    least = rows.groupBy("part").agg(F.min("key").alias("least"))
+    rows = rows.join(F.broadcast(least), "part").withColumn("value", F.concat(F.when(F.col("key") == F.col("least"), F.lit("")).otherwise(F.lit(", ")), "value"))  # two rows
+    return S.read_graph_json(spark, _document(rows, ['{"nodes": [', '], "edges": [', "]}"], "graph.json"))
 
 
 @query("SELECT CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE '' END AS entity_name, 'Gene' AS entity_type, CAST(c_custkey AS VARCHAR) AS entity_ref_id, c_mktsegment AS data_source, '' AS data_source_url, 'hetionet' AS src_db FROM customer")
@@ -301,3 +309,31 @@ def src_yearly_files(spark, d):
     orders.withColumn("tag", F.concat(F.lit("ARTICLES_Y"), "y")).write.partitionBy("tag").option("header", "true").csv(at)
     rows = spark.read.option("header", "true").option("basePath", at).csv(f"{at}/tag=ARTICLES_Y*")
     return rows.groupBy(F.regexp_extract("tag", r"_Y(\d{4})", 1).alias("year")).agg(F.count("*").alias("n"))
+
+
+_ROBUST = "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN '衰老, ' ELSE '' END || p_name AS name, p_type AS kind FROM part"
+
+
+def _robust(spark, d):
+    """A folder of files of two makes: GB18030 with tabs, UTF-8 with commas; some lines lack a field."""
+    at = _path(spark, "mixed")
+    part = _table(spark, d, "part").selectExpr("p_partkey AS k", "p_name AS name", "p_type AS kind")
+    lacks = lambda sep: F.when(F.col("k") % 7 == 0, F.concat_ws(sep, F.col("k").cast("string"), "name"))
+    tabs = part.where("k % 2 = 0").select(lacks("\t").alias("short"), F.concat_ws("\t", F.col("k").cast("string"), F.concat(F.lit("衰老, ".encode("gb18030").decode("latin-1")), "name"), "kind").alias("full"))
+    commas = part.where("k % 2 = 1").select(lacks(",").alias("short"), F.concat_ws(",", F.col("k").cast("string"), F.concat(F.lit('"'), "name", F.lit('"')), "kind").alias("full"))
+    for rows, sep, encoding in ((tabs, "\t", "ISO-8859-1"), (commas, ",", "UTF-8")):
+        # each part file has its own header, as files of a folder have
+        rows.select(F.coalesce("short", "full").alias(sep.join(("id", "name", "kind")))).write.mode("append").option("header", "true").option("sep", "\x01").option("quote", "").option("encoding", encoding).csv(at)
+    return read_robust(spark, at)
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS id, name, kind FROM ({_ROBUST}) x WHERE k % 7 <> 0")
+def src_mixed_files(spark, d):
+    """The lines of files of different charsets and delimiters."""
+    return _robust(spark, d)[0].select("id", "name", "kind")
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_partkey % 7 = 0")
+def src_mixed_malformed(spark, d):
+    """The number of lines that lack a field."""
+    return _robust(spark, d)[1].agg(F.count("*").alias("n"))

@@ -90,3 +90,25 @@ def test_bridge_candidates_equal_their_formulas(spark):
         assert got[x].is_seed == (x in ("N01", "N03", "N05"))
     best = [r.entity_id for r in G.candidates(G.bridge_candidates(df, stats, weights, seeds["A"], seeds["L"]), "B_total", 3).collect()]
     assert len(best) == 3 and not {"N01", "N03", "N05"} & set(best)
+
+
+def test_giant_component_keeps_the_edges_of_the_largest_part(spark):
+    edges = random_edges(60, 35, 9)
+    near = {}
+    for u, v, _ in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    parts, seen = [], set()
+    for x in sorted(near):
+        part, todo = set(), [x]
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                part.add(y)
+                todo += near[y]
+        if part:
+            parts.append(part)
+    largest = min(parts, key=lambda p: (-len(p), min(p)))
+    got = G.giant_component(spark.createDataFrame(edges, "u string, v string, w double")).collect()
+    assert {tuple(r) for r in got} == {e for e in edges if e[0] in largest} and len(parts) > 1
