@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.views import plain, view
 from loomgraph.session import checkpoint_folder
+from loomgraph.sources import listed as N
 from loomgraph.sources import readers as R
 from loomgraph.sources import standard as S
 from loomgraph.sources.robust import read_robust
@@ -337,3 +338,28 @@ def src_mixed_files(spark, d):
 def src_mixed_malformed(spark, d):
     """The number of lines that lack a field."""
     return _robust(spark, d)[1].agg(F.count("*").alias("n"))
+
+
+def _listed(spark, d, table: str, sep: str, **values: str) -> DataFrame:
+    """A stand-in of a table's files, read by its list of columns; a column that isn't in the list is in them too."""
+    cells = [f"CAST({v} AS STRING) AS `{c}`" for c, v in values.items()]
+    return N.read_listed(spark, _written(_part(spark, d, *cells, "'x' AS unlisted"), f"{table}.txt", sep=sep), table)[0]
+
+
+@query("SELECT 'Chem ' || p_partkey AS chemical_name, 'D' || p_partkey AS chemical_id, p_name AS gene_symbol, 'protein|mRNA' AS gene_form, p_brand || '^x' AS interaction_action, p_size || '|7' AS pubmed_id FROM part")
+def src_ageanno_drugs(spark, d):
+    """A table of many-valued fields; their values stay joined as they are published."""
+    return _listed(spark, d, "ageanno__related_drugs", "\t", ChemicalName="'Chem ' || p_partkey", ChemicalID="'D' || p_partkey", GeneSymbol="p_name", GeneForms="'protein|mRNA'", InteractionActions="p_brand || '^x'", PubMedIDs="p_size || '|7'")
+
+
+@query("SELECT p_name AS gene_symbol, p_type || ', or so' AS comment, CASE WHEN p_size > 25 THEN p_brand END AS protein_activity, 'G' || p_partkey AS regulated_gene, '10.1/' || p_partkey AS article_doi, CAST(p_partkey AS VARCHAR) AS pubmed_id FROM part")
+def src_opengenes_regulation(spark, d):
+    """A table that lacks one of its listed columns."""
+    return _listed(spark, d, "opengenes__gene_regulation", "\t", hgnc="p_name", comment="p_type || ', or so'", protein_activity="CASE WHEN p_size > 25 THEN p_brand END", regulated_gene="'G' || p_partkey", doi="'10.1/' || p_partkey", pmid="p_partkey")
+
+
+@query("""SELECT disease_name, disease_id, external_disease_ids, synonym FROM (SELECT p_name || ', "' || p_brand || '"' AS disease_name, 'MESH:D' || p_partkey AS disease_id, 'DO:' || p_size AS external_disease_ids, unnest(['a ' || p_type, 'b']) AS synonym FROM part) x""")
+def src_ctd_diseases(spark, d):
+    """A table with quoted fields, its synonyms taken apart."""
+    rows = _listed(spark, d, "ctd__diseases", ",", DiseaseName="p_name || ', \"' || p_brand || '\"'", DiseaseID="'MESH:D' || p_partkey", AltDiseaseIDs="'DO:' || p_size", Synonyms="'a ' || p_type || '|b'")
+    return rows.select("disease_name", "disease_id", "external_disease_ids", F.explode(F.split("synonyms", r"\|")).alias("synonym"))

@@ -53,3 +53,14 @@ def test_mixed_files_are_read_in_one_go(spark, tmp_path):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "x.csv").write_bytes(b"")
     assert read_robust(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_standard_names_are_distinct():
+    from loomgraph.sources.listed import OWN, RENAMED, TABLES, standard_names
+
+    for table in TABLES:
+        names = list(standard_names(table).values())
+        assert len(set(names)) == len(names) and all(names), table
+    assert set(OWN) <= set(TABLES) and {t.split("__")[0] for t in TABLES} == set(RENAMED)
+    got = standard_names("ageanno__related_diseases")
+    assert got["geneId"] == "ageanno_gene_id" and got["number of pmid"] == "number_of_pmid" and standard_names("opengenes__lifespan_change")["lifespan_%_change_min"] == "lifespan_%_change_min"
