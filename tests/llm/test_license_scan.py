@@ -1,4 +1,7 @@
-from loomgraph.llm.license_scan import TEMPLATES, Templates, license_spans
+import random
+import time
+
+from loomgraph.llm.license_scan import CUE, TEMPLATES, Templates, license_spans
 
 
 def test_each_template_wins_for_itself():
@@ -54,3 +57,38 @@ def test_other_versions_and_common_words_are_not_confirmed():
     assert found(gpl.format(2)) == ["GPL-2.0"] and found(gpl.format(3)) == ["GPL-3.0"] and found(gpl.format(1)) == [None]
     assert found("Licensed under the Apache License, Version 1.1.") == [None] and found("Licensed under CC BY 3.0.") == [None]
     assert found("You need a driving license. All visitors have equal rights here. Some tables are reserved for staff.") == [None]
+
+
+def test_compression_decides(monkeypatch):
+    notice = TEMPLATES["Apache-2.0-notice"]
+    t = Templates(TEMPLATES)
+    assert [(x[2], x[0], x[1]) for x in t.scan(notice)] == [("Apache-2.0-notice", 0, len(notice))]
+    for constant in (0, 1, 10_000):  # of templates that fit the words, the savings choose
+        monkeypatch.setattr(t, "saved", lambda k, words: constant)
+        assert [x[2] for x in t.scan(notice)] != ["Apache-2.0-notice"]
+    monkeypatch.undo()
+    t.given = {k: t.alone for k in t.given}  # and without savings nothing is looked for
+    assert [x[2] for x in t.scan(notice)] == [None]
+
+
+def test_notices_are_found_anywhere_in_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    t, rng = Templates(TEMPLATES), random.Random(1)
+    texts = [r.text.split(" ") for r in docs if r.text and not CUE.search(r.text)][:300] + [["so"] * 500, ["a1" * i for i in range(200)]]
+    for words in texts:
+        for k in rng.sample(sorted(TEMPLATES), 4):
+            i = rng.randrange(len(words) + 1)
+            text = " ".join([*words[:i], TEMPLATES[k], *words[i:]])
+            start = len(" ".join(words[:i])) + (i > 0)
+            assert (start, start + len(TEMPLATES[k]), k, 0, 0) in [x[:5] for x in t.scan(text)], (k, text)
+
+
+def test_work_grows_with_the_text_for_near_misses():
+    t, rng = Templates(TEMPLATES), random.Random(1)
+    words = TEMPLATES["GPL-3.0-text"].split()
+    near = lambda share, n: " ".join(w for _ in range(n) for w in words if rng.random() > share)
+    since = time.process_time()
+    text = near(0.12, 30)  # 0.9 MB, none near enough
+    assert len(text) > 900_000 and not any(x[2] for x in t.scan(text))
+    assert [x[2] for x in t.scan(near(0.05, 30))] == ["GPL-3.0-text"] * 30
+    assert time.process_time() - since < 40  # about 5; it took an hour when each place was aligned anew
