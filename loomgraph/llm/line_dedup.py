@@ -6,7 +6,8 @@ window alone. Of every window the smallest hash is selected as a fingerprint; wi
 the same position, so that fewer positions are posted than there are windows, and yet no repeated run of WINDOW lines,
 or of WORDS words in whole lines, can lack a common fingerprint. Fingerprints that occur once are dropped. The others
 are joined with their positions in the windows that selected them: the match is extended to both sides as far as these
-windows agree, and each window is compared with its first place in the corpus, in the order of the documents and lines.
+windows agree, and each window is compared with its first place in the corpus, in the order of the documents and lines;
+its key has 128 bits, from two hashes of every line, so that no two texts of any real corpus share one.
 Windows after their first place are put together into maximal runs, and the lines of these runs are deleted.
 
 A fingerprint or window that fills the corpus is never joined with itself: first places are aggregated, in part where
@@ -38,10 +39,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """(f, doc_id, h, own): a posted position, and the windows (first line, last line, hash) that selected it."""
+    """(f, doc_id, h, own): a posted position, and the windows (first line, last line, two independent hashes) that selected it."""
     bare = F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.btrim(x, F.lit(_BLANKS)).alias("t"), i.alias("at")))
     count = lambda t: F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
-    full = F.transform(F.filter(bare, lambda x: x["t"] != ""), lambda x, i: F.struct(F.xxhash64(x["t"]).alias("h"), (-i).alias("k"), x["at"].alias("at"), count(x["t"]).alias("n")))
+    full = F.transform(F.filter(bare, lambda x: x["t"] != ""), lambda x, i: F.struct(F.xxhash64(x["t"]).alias("h"), (-i).alias("k"), F.xxhash64(F.lit(1), x["t"]).alias("g"), x["at"].alias("at"), count(x["t"]).alias("n")))
     docs = _keyed(docs.where("doc_id IS NOT NULL")).select("doc_id", "h", full.alias("seq")).where(F.size("seq") > 0)
 
     def window(s: Column) -> Column:
@@ -51,9 +52,9 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
             size = F.when(sum((words(j) for j in range(1, k)), words(0)) >= WORDS, k).otherwise(size)
         part = F.slice("seq", s + 1, size)
         least = F.array_min(part)  # of equal hashes the last
-        hashes = F.transform(part, lambda x: x["h"])
+        key = lambda c: F.xxhash64(F.transform(part, lambda x: x[c]))
         return F.struct(
-            least["h"].alias("f"), (-least["k"]).alias("p"), part[0]["at"].alias("first"), F.element_at(part, -1)["at"].alias("last"), F.xxhash64(hashes).alias("w"), (F.size(part) == size).alias("whole"),
+            least["h"].alias("f"), (-least["k"]).alias("p"), part[0]["at"].alias("first"), F.element_at(part, -1)["at"].alias("last"), key("h").alias("w"), key("g").alias("v"), (F.size(part) == size).alias("whole"),
         )
 
     windows = F.transform(F.sequence(F.lit(0), F.size("seq") - 1), window)
@@ -62,7 +63,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     def posting(p: Column) -> Column:
         start = F.greatest(p - (WINDOW - 1), F.lit(0))
         own = F.filter(F.slice("windows", start + 1, F.lit(WINDOW)), lambda x: x["p"] == p)
-        return F.struct(own[0]["f"].alias("f"), F.transform(own, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["w"].alias("w"))).alias("own"))
+        return F.struct(own[0]["f"].alias("f"), F.transform(own, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["w"].alias("w"), x["v"].alias("v"))).alias("own"))
 
     posted = F.transform(F.array_distinct(F.col("windows")["p"]), posting)
     return docs.select("doc_id", "h", F.explode(posted).alias("x")).select("x.f", "doc_id", "h", "x.own")
@@ -72,10 +73,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, h, runs) of docs (doc_id, text): the later repeated runs (first, last) of lines, for documents that have any."""
     posts = checkpointed(_fingerprints(docs))  # read twice
     often = posts.groupBy("f").count().where("count > 1").select("f")
-    windows = checkpointed(posts.join(often, "f").select("doc_id", "h", F.explode("own").alias("x")).select("doc_id", "h", "x.*"))
+    return _runs(checkpointed(posts.join(often, "f").select("doc_id", "h", F.explode("own").alias("x")).select("doc_id", "h", "x.*")))
+
+
+def _runs(windows: DataFrame) -> DataFrame:
+    """repeated_runs of windows (doc_id, h, first, last, w, v): those equal in both hashes have the same lines."""
     at = F.struct("doc_id", "h", "first")
-    start = windows.groupBy("w").agg(F.min(at).alias("start"), F.max(at).alias("end")).where("start < end").select("w", "start")
-    later = windows.join(start, "w").where(at > F.col("start")).select("doc_id", "h", "first", "last").distinct()
+    start = windows.groupBy("w", "v").agg(F.min(at).alias("start"), F.max(at).alias("end")).where("start < end").select("w", "v", "start")
+    later = windows.join(start, ["w", "v"]).where(at > F.col("start")).select("doc_id", "h", "first", "last").distinct()
     by = Window.partitionBy("doc_id", "h").orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1)))

@@ -71,3 +71,14 @@ def test_nulls_empty_repeats_and_other_columns(spark):
     got = sorted(((str(r.doc_id), r.text, r.n_chars) for r in out.collect()), key=str)
     assert got == [("1", None, 7), ("2", "", 7), ("3", "a\nb\nc", 7), ("4", "d", 1), ("4", "d", 1), ("5", "a\nb", 7), ("None", "a\nb\nc", 7)]
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_are_the_same_only_by_both_hashes(spark):
+    from loomgraph.llm.line_dedup import _fingerprints, _runs
+
+    rows = [(1, 0, 0, 2, 7, 1), (2, 0, 0, 2, 7, 2), (3, 0, 4, 6, 7, 1), (3, 0, 5, 7, 8, 1)]
+    got = _runs(spark.createDataFrame(rows, "doc_id long, h long, first int, last int, w long, v long")).collect()
+    assert [(r.doc_id, [tuple(x) for x in r.runs]) for r in got] == [(3, [(4, 6)])]
+    docs = spark.createDataFrame([(i, f"line {i}\nb\nc") for i in range(50)], "doc_id long, text string")
+    keys = [(x.w, x.v) for r in _fingerprints(docs).collect() for x in r.own]
+    assert len(set(keys)) == len({w for w, _ in keys}) == len({v for _, v in keys}) == 50 and not {w for w, _ in keys} & {v for _, v in keys}
