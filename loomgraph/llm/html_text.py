@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Container, Iterator
 from itertools import chain
+from math import isqrt
 
 import pandas as pd
 import xxhash
@@ -36,11 +37,12 @@ OUTSIDE = set("nav header footer aside form dialog menu button fieldset".split()
 OUTSIDE_WORDS = set("nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsor sponsored promo comment comments reply replies respond share sharing social related newsletter subscribe signup login breadcrumb breadcrumbs pagination pager widget popup modal disqus".split())
 INSIDE_WORDS = set("article main content post entry story text body".split())
 
-#: Tokens of a repeated group at most, streams that are aligned in one group, and cells of an alignment's table: beyond
-#: them, what two streams have between their equal ends becomes optional on both sides, and no text leaves the wrapper.
+#: Tokens of a repeated group at most, and streams that are aligned in one group.
 GROUP_TOKENS = 8
 STREAMS = 64
-CELLS = 1_000_000
+#: None: wrappers of any length are aligned exactly. A caller may set a bound for the product of two lengths: beyond it, what
+#: they have between their equal ends becomes optional on both sides, and no text leaves the wrapper.
+CELLS: int | None = None
 
 #: Elements below each other at most, as in browsers; deeper ones are read as part of the last one.
 DEPTH = 512
@@ -257,6 +259,50 @@ def _with_groups(items: list, groups: list[list]) -> list:
     return items
 
 
+def _common_rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For i from 0 to len(a), the longest common subsequences of a[i:] and each b[j:] as bits: bit len(b) - 1 - j says whether that
+    of b[j:] is one longer than that of b[j + 1:].
+
+    A row comes from the one after it by a few operations on whole integers. Only about the square root of the rows is kept;
+    those between are made again when they are asked for.
+    """
+    n, m = len(a), len(b)
+    step = isqrt(n) + 1
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(m - 1 - j)
+
+    def bits(at: list[int]) -> int:
+        if len(at) < 4:
+            return sum(1 << k for k in at)
+        out = bytearray(m // 8 + 1)
+        for k in at:
+            out[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(out, "little")
+
+    many = {x: bits(at) for x, at in places.items() if len(at) * len(at) > m}  # fewer than the square root of m
+    whole = (1 << m) - 1
+
+    def before(row: int, x: str) -> int:
+        if x not in places:
+            return row
+        same = row & (many[x] if x in many else bits(places[x]))
+        return ((row + same) | (row - same)) & whole
+
+    row, kept = whole, {n: whole}
+    for i in range(n - 1, -1, -1):
+        row = before(row, a[i])
+        if i % step == 0:
+            kept[i] = row
+    for start in range(0, n, step):
+        end = min(start + step, n)
+        block = [kept[end]]
+        for i in range(end - 1, start - 1, -1):
+            block.append(before(block[-1], a[i]))
+        yield from (whole ^ r for r in block[:0:-1])
+    yield 0
+
+
 def aligned(a: list, b: list) -> list:
     """A wrapper that accepts what either of two wrappers accepts; texts that differ at one place become a slot, but a text that
     nearly all pages have stays beside the few that have another there."""
@@ -265,15 +311,18 @@ def aligned(a: list, b: list) -> list:
     groups = lambda x: [i for i in x if isinstance(i, list)]
     a, b = _with_groups(a, groups(b)), _with_groups(b, groups(a))
     ka, kb = list(map(_key, a)), list(map(_key, b))
-    if len(a) * len(b) > CELLS:
+    if CELLS is not None and len(a) * len(b) > CELLS:
         return folded(_ends_aligned(a, b, ka, kb))
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(table[i + 1][j], table[i][j + 1])
+    rows = _common_rows(ka, kb)
+    row, below = next(rows), next(rows, 0)
+    whole = (1 << len(b)) - 1
     out: list = []
     i = j = 0
 
+    def common(r: int, k: int) -> int:
+        """Length of the longest common subsequence of a row's part of a and b[k:]."""
+        return (r & whole >> k).bit_count()
+
     def optional(part: list) -> None:
         for x in part:
             out.append(x if isinstance(x, list) and x[0] == "?" else ["?", [x]])
@@ -283,24 +332,27 @@ def aligned(a: list, b: list) -> list:
             kinds = {x[0] for x in (a[i], b[j]) if isinstance(x, list)}
             unit = json.loads(ka[i])
             out.append(["?", unit] if "?" in kinds else ["+", unit] if kinds else a[i])
-            i, j = i + 1, j + 1
-        elif _is_text(a[i]) and _is_text(b[j]) and table[i + 1][j + 1] == table[i][j]:
+            down, right = 1, 1
+        elif _is_text(a[i]) and _is_text(b[j]) and common(below, j + 1) == common(row, j):
             shared = [x for x in (a[i], b[j]) if x[0] == "="]
             out.append(shared[0] if len(shared) == 1 else "#")
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+            down, right = 1, 1
+        elif common(below, j) >= common(row, j + 1):
             optional([a[i]])
-            i += 1
+            down, right = 1, 0
         else:
             optional([b[j]])
-            j += 1
+            down, right = 0, 1
+        i, j = i + down, j + right
+        if down:
+            row, below = below, next(rows, 0)
     optional(a[i:])
     optional(b[j:])
     return folded(out)
 
 
 def _ends_aligned(a: list, b: list, ka: list[str], kb: list[str]) -> list:
-    """aligned() of long wrappers: only what they share at both ends."""
+    """aligned() of wrappers beyond a bound: only what they share at both ends."""
     n = min(len(a), len(b))
     start = next((i for i in range(n) if ka[i] != kb[i]), n)
     end = next((i for i in range(n - start) if ka[-1 - i] != kb[-1 - i]), n - start)

@@ -1,5 +1,6 @@
 import html
 import json
+import random
 import re
 import time
 
@@ -105,6 +106,26 @@ def test_long_wrappers_keep_their_texts(monkeypatch):
     assert template_texts(json.dumps(aligned(a, b))) == {1, 2, 3, 4, 9}
 
 
+def test_alignment_is_the_same_at_any_length():
+    part_a, part_b = ["<p", "=1", ">", "=2", "<q", "=5", ">", "=9"], ["<p", "=1", ">", "=3", "=4", "<q", "=5", ">", "=8"]
+    want = ["<p", "=1", ">", "#", ["?", ["=4"]], "<q", "=5", ">", "#"]
+    assert aligned(part_a, part_b) == want
+    ends = [f"<{k}" for k in range(1200)]
+    assert aligned(["<x", *part_a, *ends, "<y"], ["<z", *part_b, *ends, "<w"]) == [["?", ["<x"]], ["?", ["<z"]], *want, *ends, ["?", ["<y"]], ["?", ["<w"]]]
+
+
+def test_common_rows_equal_the_table():
+    r = random.Random(3)
+    for _ in range(300):
+        n, m, kinds = r.randrange(40), r.randrange(40), r.choice([2, 4, 30])
+        a, b = ([str(r.randrange(kinds)) for _ in range(k)] for k in (n, m))
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+        assert [[(row & (1 << m - j) - 1).bit_count() for j in range(m + 1)] for row in html_text._common_rows(a, b)] == table
+
+
 def test_what_all_articles_have_stays(spark):
     told = "<html><body><nav>Menu</nav><article><p>By the desk</p><h1>Title {k}</h1><p>Story {k} has words of its own, {k}.</p><h2>Background</h2><p>More of {k}.</p><p>Sources: us</p></article><footer>(c)</footer></body></html>"
     plain = "<html><body><div><p>Menu and more</p></div><div><p>Title {k}</p><p>Story {k} has words of its own, {k}.</p><p>Background</p><p>More of {k} to read.</p></div></body></html>"
