@@ -6,8 +6,10 @@ The files lie in the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,15 +112,27 @@ def src_index_names(spark, d):
     return S.with_names(_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("entity_index")), names)
 
 
-def _document(rows: DataFrame, signs: list[str], name: str) -> str:
-    """One document, as the datasets are, of rows (part, key, value) and a line before, between and after the parts 1, 3 ...; one task writes its lines in order."""
-    fixed = rows.sparkSession.createDataFrame([(2 * k, "", sign) for k, sign in enumerate(signs)], "part int, key string, value string")
-    return _written(fixed.union(rows.select("part", "key", "value")).repartition(1).sortWithinPartitions("part", "key").select("value"), name, "text")
+def _documents(rows: DataFrame, before: str, after: str, between: str = "") -> DataFrame:
+    """rows (value) as documents, one of each task: what comes before the first value, between two and after the last."""
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_arrays([x], names=["value"])
+        yield lines(pa.array([before]))
+        first = True
+        for batch in batches:
+            values = batch.column(0)
+            if first and len(values):
+                yield lines(values[:1])
+                first, values = False, values[1:]
+            yield lines(pc.binary_join_element_wise(between, values, "") if between else values)
+        yield lines(pa.array([after]))
+
+    return rows.select("value").mapInArrow(document, "value string")
 
 
 def _xml(spark: SparkSession, d: str, record: str, name: str) -> str:
-    """A document of a record for each part."""
-    return _document(_part(spark, d, record).select(F.lit(1).alias("part"), F.col("value").alias("key"), "value"), ["<Set>", "</Set>"], name)
+    """Documents of a record for each part."""
+    return _written(_documents(_part(spark, d, record), "<Set>", "</Set>"), name, "text")
 
 
 def _rrf(df: DataFrame, name: str, width: int, columns: dict[int, str]) -> str:
@@ -160,11 +174,9 @@ def src_umls_relations(spark, d):
 def _graph(spark, d):
     nodes = _table(spark, d, "customer").selectExpr("c_custkey AS identifier", "CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name", "'Gene' AS kind", "named_struct('source', c_mktsegment, 'url', CAST(NULL AS STRING)) AS data")
     edges = _table(spark, d, "orders").selectExpr("o_orderkey AS k", "array('Gene', CAST(o_custkey AS STRING)) AS source_id", "array('Order', CAST(-o_orderkey AS STRING)) AS target_id", "o_orderpriority AS kind", "CASE WHEN o_orderkey % 2 = 0 THEN 'forward' END AS direction", "named_struct('unbiased', o_orderkey % 3 = 0) AS data")
-    line = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != "k"])).alias("value"))
-    rows = line(nodes, 1, "identifier").union(line(edges, 3, "k"))
-    least = rows.groupBy("part").agg(F.min("key").alias("least"))
-    rows = rows.join(F.broadcast(least), "part").withColumn("value", F.concat(F.when(F.col("key") == F.col("least"), F.lit("")).otherwise(F.lit(", ")), "value"))  # two rows
-    return S.read_graph_json(spark, _document(rows, ['{"nodes": [', '], "edges": [', "]}"], "graph.json"))
+    line = lambda df: df.select(F.to_json(F.struct(*[c for c in df.columns if c != "k"])).alias("value"))
+    documents = _documents(line(nodes), '{"nodes": [', '], "edges": []}', ", ").union(_documents(line(edges), '{"nodes": [], "edges": [', "]}", ", "))
+    return S.read_graph_json(spark, _written(documents, "graph.json", "text"))
 
 
 @query("SELECT CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE '' END AS entity_name, 'Gene' AS entity_type, CAST(c_custkey AS VARCHAR) AS entity_ref_id, c_mktsegment AS data_source, '' AS data_source_url, 'hetionet' AS src_db FROM customer")
@@ -219,7 +231,7 @@ def src_icd10(spark, d):
 
 
 def _letters(spark, d, body: str, name: str) -> str:
-    """One document with a letter for each part."""
+    """Documents with a letter for each part."""
     return _xml(spark, d, f"'<letter><title>L</title><mainTerm>' || {body} || '</mainTerm></letter>' AS value", name)
 
 

@@ -3,8 +3,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomgraph.plans.source_queries import QUERIES, _documents
 from loomgraph.sources.large_json import json_members
 from loomgraph.sources.robust import read_robust
+from loomgraph.sources.standard import read_mesh_names
 
 
 def members(doc):
@@ -40,6 +42,40 @@ def test_a_large_document_is_read_by_several_tasks(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_records_of_one_xml_document_are_read_by_several_tasks(spark, tmp_path):
+    name = lambda k: f"n{k} &amp; <![CDATA[<b>]]>" + "é" * (k % 50)
+    record = lambda k: f'<QualifierRecord a="{k}">\n<QualifierUI>Q{k}</QualifierUI><!-- x --><QualifierName><String>{name(k)}</String></QualifierName></QualifierRecord>\n'
+    at = tmp_path / "qual.xml"
+    at.write_text('<?xml version="1.0"?><!-- <QualifierRecord> --><QualifierRecordSet>' + "".join(map(record, range(400))) + f"<!-- {record(1000)} -->" + record(400) + "</QualifierRecordSet>", encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (700, 3000, 10**7):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            rows = read_mesh_names(spark, str(at), "Qualifier")
+            assert sorted((r.mesh_id, r.entity_name) for r in rows.collect()) == sorted((f"Q{k}", f"n{k} & <b>" + "é" * (k % 50)) for k in range(401)), size
+            assert size > 10**6 or rows.rdd.getNumPartitions() > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stand_in_documents_are_written_by_several_tasks(spark, sf):
+    names = ["src_graph_edges", "src_mesh_names", "src_uniprot", "src_icd10_index"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        whole = {n: sorted(map(str, QUERIES[n](spark, sf).collect())) for n in names}
+        rows = spark.range(100, numPartitions=4).selectExpr("'<i>' || id || '</i>' AS value")
+        lines = _documents(rows, "<Set>", "</Set>", ", ").rdd.mapPartitions(lambda x: ["".join(r.value for r in x)]).collect()
+        assert lines == ["<Set>" + ", ".join(f"<i>{k}</i>" for k in range(p, p + 25)) + "</Set>" for p in range(0, 100, 25)]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        assert {n: sorted(map(str, QUERIES[n](spark, sf).collect())) for n in names} == whole
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_mixed_files_are_read_in_one_go(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('﻿id,name,note\r\n1,基因,"x, ""y"""\r\n2,b\r\n\r\n3,c,d,e\r\n4,,z\r\n'.encode())
     (tmp_path / "b.tsv").write_bytes("id\tname\n5\t衰老, 基因\n6\tb\tmore\n".encode("gbk"))
