@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import checkpointed
+from loomgraph.llm.common import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,9 +14,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round joins every node's neighbours to the smallest of them, first those above the node, then those
     below; the number of rounds grows with the logarithm of the longest path. A node's minimum is aggregated
     before it is joined back, so that a hub is never gathered in one task. It ends when every node has one smaller
-    neighbour, which has none. No edges: no rows. Loops and repeated edges change nothing.
+    neighbour, which has none. No edges: no rows. Loops and repeated edges change nothing. Each round is read back from
+    Parquet, whose small files are read together, so that few edges make few tasks and shuffle files in every round.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = up.groupBy("a").agg(F.min("b").alias("m"))
         joined = up.join(least, "a")
         down = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        now = checkpointed(down.where("a <> b").distinct())
+        now = written(down.where("a <> b").distinct(), "edges")
     nodes = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.union(nodes.select("component", "component").distinct())
 

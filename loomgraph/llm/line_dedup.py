@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import checkpointed
+from loomgraph.llm.common import written
 
 #: Lines of a window at most, and words that make a window of fewer: repeated runs of so many lines, or of so many words
 #: in whole lines, are found for certain; shorter ones stay.
@@ -71,9 +71,9 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, h, runs) of docs (doc_id, text): the later repeated runs (first, last) of lines, for documents that have any."""
-    posts = checkpointed(_fingerprints(docs))  # read twice
+    posts = written(_fingerprints(docs), "fingerprints")  # read twice; Parquet takes less room than a checkpoint
     often = posts.groupBy("f").count().where("count > 1").select("f")
-    return _runs(checkpointed(posts.join(often, "f").select("doc_id", "h", F.explode("own").alias("x")).select("doc_id", "h", "x.*")))
+    return _runs(written(posts.join(often, "f").select("doc_id", "h", F.explode("own").alias("x")).select("doc_id", "h", "x.*"), "windows"))
 
 
 def _runs(windows: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_batches, map_columns, one_text, shingle_set, with_id
+from loomgraph.llm.common import MIN_SIMILARITY, by_ids, checkpointed, coefficients, map_batches, map_columns, one_text, shingle_set, with_id, written
 from loomgraph.llm.components import connected_components
 
 #: Coordinates of a signature, the least number that must agree, and the length from which a list counts as frequent.
@@ -162,7 +162,7 @@ def _around(open_: DataFrame, low: DataFrame, docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, low: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): of pairs (hub, doc_id), those that agree in MATCHES coordinates and are similar by their full sets."""
     near = pairs.join(low.select(F.col("doc_id").alias("hub"), F.col("low").alias("low_hub")), "hub").join(low, "doc_id")
-    near = checkpointed(near.where(_agree("low_hub", "low")).select("hub", "doc_id"))
+    near = written(near.where(_agree("low_hub", "low")).select("hub", "doc_id"), "near")
     blocks = near.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = near.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), F.lit(1).alias("place"), "doc_id")
     hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"), F.col("hub").alias("doc_id"))
@@ -185,7 +185,7 @@ def _confirmed(pairs: DataFrame, low: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "place")
-    return checkpointed(map_batches(dealt, run, "a long, b long"))
+    return written(map_batches(dealt, run, "a long, b long"), "links")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +200,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct("doc_id", "n_shingles", "sig", "low")).alias("first")
     classes = checkpointed(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(first).select("set_hash", "first.*"))
     low = classes.select("doc_id", "low")
-    posts = checkpointed(_postings(classes))
+    posts = written(_postings(classes), "postings")
 
     met = posts.where("doc_id <> leader").where(_similar_size("n", "n_leader")).select(F.col("leader").alias("hub"), "doc_id").distinct()
     links = _confirmed(met, low, docs)
@@ -208,7 +208,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     open_ = posts.where("size > 2").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     tops = open_.groupBy("key", "part").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("count", "part")).alias("top")).where("parts > 1")
-    open_ = checkpointed(open_.join(tops, "key").select("key", "size", "doc_id", "n", "part", "leader", "top"))
+    open_ = written(open_.join(tops, "key").select("key", "size", "doc_id", "n", "part", "leader", "top"), "open")
     short = open_.where(F.col("size") <= FREQUENT)
     x, y = short.alias("x"), short.where("part <> top AND doc_id <> leader").alias("y")
     apart = F.expr("x.key = y.key AND x.part <> y.part AND x.doc_id <> x.leader AND (x.part = x.top OR x.doc_id < y.doc_id)")

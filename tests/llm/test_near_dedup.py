@@ -3,6 +3,7 @@ import re
 
 import pyarrow.parquet as pq
 
+from loomgraph.llm.components import connected_components
 from loomgraph.llm import near_dedup
 from loomgraph.llm.near_dedup import near_duplicates
 
@@ -104,3 +105,16 @@ def test_many_classes_around_one_component_are_compared_in_blocks(spark, monkeyp
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_of_few_edges_have_few_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = connected_components(spark.range(40).selectExpr("id AS a", "id + 1 AS b"))
+        assert out.rdd.getNumPartitions() < 100  # 64 are those of the smallest nodes
+        assert {tuple(r) for r in out.collect()} == {(k, 0) for k in range(41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
