@@ -10,6 +10,7 @@ from loomgraph.functions.text import bad_name, clean_entity_name
 from loomgraph.operators import first_per, ranked, require_columns
 from loomgraph.operators.quantiles import at_least_quantile
 from loomgraph.params import CLASSES, ENTITY_SOURCES, ENTITY_WEIGHTS, QUALITY_WEIGHTS, Aging, Selection, SourceWeights
+from loomgraph.session import written
 
 
 def type_weights(types: DataFrame, p: SourceWeights = ENTITY_SOURCES) -> DataFrame:
@@ -70,10 +71,14 @@ def primary_types(weights: DataFrame) -> DataFrame:
 
 
 def quality(weights: DataFrame) -> DataFrame:
-    """(entity_id, entity_type, quality_norm) of each entity's main type: a weighted sum of logs, scaled to 0..1."""
+    """(entity_id, entity_type, quality_norm) of each entity's main type: a weighted sum of logs, scaled to 0..1.
+
+    The sums are written before they are scaled, so that the weights are computed once.
+    """
     have = {c: w for c, w in QUALITY_WEIGHTS.items() if c in weights.columns}
     raw = sum((F.lit(w / sum(have.values())) * F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c, w in have.items()), F.lit(0.0))
-    return min_max(primary_types(weights).withColumn("quality_raw", raw), {"quality_raw": "quality_norm"}).select("entity_id", "entity_type", "quality_norm")
+    main = written(primary_types(weights).select("entity_id", "entity_type", raw.alias("quality_raw")))
+    return min_max(main, {"quality_raw": "quality_norm"}).select("entity_id", "entity_type", "quality_norm")
 
 
 def _scored_evidence(articles: DataFrame, evidence: DataFrame, seeds: DataFrame | None, p: Aging) -> DataFrame:

@@ -11,7 +11,7 @@ from loomgraph.operators.edges import induced, merged_edges, node_stats, undirec
 from loomgraph.operators.entities import quality
 from loomgraph.operators.quantiles import at_least_quantile, exact_quantiles
 from loomgraph.params import SUBGRAPH_SOURCES, Mining, Seeded
-from loomgraph.session import checkpointed
+from loomgraph.session import checkpointed, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, p: Mining = M
     Rank of nodes without outgoing weight goes to the seeds. It ends when the ranks move by less than N * tolerance in
     all, or after `iterations`, and fails if max_iterations don't suffice. Without seeds every rank is 0. Out-weights
     are normalised once; each step is one join and one aggregation by destination, whose partial sums meet a hub's
-    edges where they lie.
+    edges where they lie. Nodes and arcs are written first, as each is read several times.
     """
-    nodes = nodes.select("entity_id").distinct()
+    nodes = written(nodes.select("entity_id").distinct())
     start = seeds.select("entity_id").distinct().join(nodes, "entity_id", "left_semi")
     n, k = nodes.count(), start.count()
     if not k:
         return nodes.withColumn("ppr", F.lit(0.0))
-    arcs = both_ways(edges).where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    ends = F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"))))
+    arcs = written(edges.where("w > 0").select(ends.alias("a"), "w").groupBy("a.src", "a.dst").agg(F.sum("w").alias("w")))
     out = arcs.groupBy("src").agg(F.sum("w").alias("total"))
     arcs = checkpointed(arcs.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")).repartition("src"))
     restart = start.withColumn("restart", F.lit(1.0 / k))
@@ -165,21 +166,23 @@ def seeded_subgraph(relations: DataFrame, seeds: DataFrame, types: DataFrame, po
 
 def _axis(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, name: str, p: Mining) -> DataFrame:
     both = pagerank(edges, nodes, seeds, p).join(local_weight(edges, seeds), "entity_id", "left").na.fill(0.0, ["local"])
-    both = min_max(both, {"ppr": "ppr_n", "local": "local_n"})
+    both = min_max(written(both), {"ppr": "ppr_n", "local": "local_n"})
     return both.select("entity_id", (p.ppr * F.col("ppr_n") + p.local * F.col("local_n")).alias(name))
 
 
 def bridge_candidates(edges: DataFrame, nodes: DataFrame, weights: DataFrame, aging: DataFrame, longevity: DataFrame, p: Mining = Mining()) -> DataFrame:  # noqa: B008
     """Nodes (entity_id, degree_sub, strength_sub) with their scores on both axes and as bridges between them.
 
-    edges are (u, v, w), weights as of type_weights(), aging and longevity the seeds (entity_id) of the axes.
+    edges are (u, v, w), weights as of type_weights(), aging and longevity the seeds (entity_id) of the axes. Edges, and what
+    is scaled, are read several times and so written first.
     """
+    edges = written(edges.select("u", "v", "w"))
     ends = edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
     axes = _axis(edges, ends, aging, "A", p).join(_axis(edges, ends, longevity, "L", p), "entity_id")
-    axes = min_max(axes, {"A": "A_score", "L": "L_score"}).withColumn("bridge_score", bridge(F.col("A_score"), F.col("L_score")))
+    axes = min_max(written(axes), {"A": "A_score", "L": "L_score"}).withColumn("bridge_score", bridge(F.col("A_score"), F.col("L_score")))
     out = nodes.select("entity_id", "degree_sub", "strength_sub").join(quality(weights), "entity_id", "left").join(axes.drop("A", "L"), "entity_id", "left")
     out = out.na.fill(0.0, ["quality_norm", "A_score", "L_score", "bridge_score"])
-    out = min_max(out, {"degree_sub": "deg_n", "strength_sub": "str_n"})
+    out = min_max(written(out), {"degree_sub": "deg_n", "strength_sub": "str_n"})
 
     def total(score: str, s: float, q: float, strength: float, degree: float) -> Column:
         return s * F.col(score) + q * F.col("quality_norm") + strength * F.col("str_n") + degree * F.col("deg_n")

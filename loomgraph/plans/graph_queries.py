@@ -14,6 +14,7 @@ from loomgraph.operators import evaluation as V
 from loomgraph.operators import graph as G
 from loomgraph.params import CHART_RELATION_TYPES, CLASSES, ENTITY_SOURCES, RELATION_SOURCES, RELATION_TYPES, SUBGRAPH_SOURCES, TYPE_PAIR_PRIOR, Aging, Selection, SourceWeights
 from loomgraph.plans.views import plain, view
+from loomgraph.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -247,7 +248,7 @@ r AS (SELECT 0 AS step, (SELECT list({'id': id, 'p': CAST(1.0 / (SELECT count(*)
   FROM r WHERE step < 100)
 SELECT id AS entity_id, round(p, 6) AS ppr FROM (SELECT unnest(ranks, recursive := true) FROM r WHERE step = 100) y(id, p)""")
 def ppr_scores(spark, d):
-    edges = view(spark, d, "nation_edges")
+    edges = written(view(spark, d, "nation_edges"))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
     return _rounded(G.pagerank(edges, nodes, view(spark, d, "seeds_aging")))
 
@@ -277,7 +278,7 @@ def quality_table(spark, d):
 
 @query()
 def bridge_candidates(spark, d):
-    edges = view(spark, d, "nation_edges")
+    edges = written(view(spark, d, "nation_edges"))
     nodes = E.node_stats(edges, "w").select("entity_id", F.col("degree").alias("degree_sub"), F.col("strength").alias("strength_sub"))
     types = view(spark, d, "etype").withColumn("entity_id", F.concat(F.lit("N"), F.pmod(F.substring("entity_id", 2, 20).cast("int"), F.lit(25)).cast("string")))
     scored = G.bridge_candidates(edges, nodes, N.type_weights(types), view(spark, d, "seeds_aging"), view(spark, d, "seeds_longevity"))
