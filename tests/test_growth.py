@@ -35,3 +35,12 @@ def test_bridge_candidates_make_their_edges_once(spark, passed):
     seeds = [spark.createDataFrame([(n,)], "entity_id string") for n in "ac"]
     assert G.bridge_candidates(edges, nodes, N.type_weights(types), *seeds).count() == 5
     assert (seen.value, made.value) == (6, 5)
+
+
+def test_quality_makes_its_weights_once(spark):
+    """What is scaled is read back: neither the scale's ends nor the result rank an entity's types again."""
+    types = spark.createDataFrame([(f"P{k}", "BMC", "uniprot") for k in range(5) for _ in range(k + 1)], "entity_id string, entity_type string, source string")
+    quality = N.quality(N.type_weights(types))
+    assert "Window" not in quality._jdf.queryExecution().executedPlan().toString()
+    out = {r.entity_id: r.quality_norm for r in quality.collect()}
+    assert (out["P0"], out["P4"]) == (0.0, 1.0)
