@@ -56,28 +56,44 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, p: Mining = M
     return now.select("entity_id", "ppr")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(entity_id, component): the smallest id that can be reached. Nodes without edges are their own.
-
-    Labels are handed to neighbours and then replaced by their labels' labels, so that the rounds grow with the
-    logarithm of the longest path.
-    """
-    arcs = edges.select(F.col("u").alias("src"), F.col("v").alias("dst")).where("src <> dst")
-    arcs = checkpointed(arcs.union(arcs.select("dst", "src")).distinct())
-    now = arcs.select(F.col("src").alias("entity_id")).distinct()
-    if nodes is not None:
-        now = now.union(nodes.select("entity_id")).distinct()
-    now = now.withColumn("component", F.col("entity_id"))
+def _roots(pairs: DataFrame) -> DataFrame:
+    """(id, root): each end's smallest neighbour or itself, that one's in turn, and so on to ends that have no smaller neighbour."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("far")), F.struct(F.col("b").alias("id"), F.col("a").alias("far"))))
+    now = written(pairs.select(ends.alias("e")).groupBy("e.id").agg(F.min("e.far").alias("near")).select("id", F.least("id", "near").alias("root")))
     while True:
-        near = arcs.join(now.withColumnRenamed("entity_id", "src"), "src").groupBy(F.col("dst").alias("entity_id")).agg(F.min("component").alias("near"))
-        low = now.join(near, "entity_id", "left").select("entity_id", F.least("component", "near").alias("new"), "component")
-        jump = low.select(F.col("entity_id").alias("new"), F.col("new").alias("far"))
-        new = checkpointed(low.join(jump, "new", "left").select("entity_id", F.least("new", "far").alias("component"), (F.least("new", "far") < F.col("component")).alias("changed")))
+        far = now.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        new = written(now.join(far, "root").select("id", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("changed")))
         now = new.drop("changed")
         if not new.where("changed").take(1):
             return now
 
 
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(entity_id, component): the smallest id that can be reached. Nodes without edges are their own.
+
+    Each round replaces the ends of edges by their roots, and only the different edges between different roots go on to the
+    next. A root that stays has taken in a neighbour or is no root in the round after, so that two rounds halve the ends.
+    """
+    pairs = edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    rounds = []
+    pairs = written(pairs)
+    while not rounds or pairs.take(1):
+        rounds.append(_roots(pairs))
+        for end in ("a", "b"):
+            pairs = pairs.join(rounds[-1].select(F.col("id").alias(end), "root"), end).drop(end).withColumnRenamed("root", end)
+            pairs = pairs.where("a <> b").distinct()  # most fall together before they are dealt out again
+        pairs = written(pairs)
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("last"))
+        found = rounds.pop().join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    found = found.select(F.col("id").alias("entity_id"), F.col("root").alias("component"))
+    if nodes is None:
+        return found
+    ids = nodes.select("entity_id").union(found.select("entity_id")).distinct()
+    return ids.join(found, "entity_id", "left").select("entity_id", F.coalesce("component", "entity_id").alias("component"))
+
+
 def giant_component(edges: DataFrame) -> DataFrame:
     """Edges of the component with most nodes, of equal ones the smallest."""
     parts = connected_components(edges)
