@@ -30,9 +30,13 @@ def _top_types(typed: DataFrame) -> DataFrame:
 
 
 def weighted_counts(rows: DataFrame, keys: list[str], p: SourceWeights) -> DataFrame:
-    """(keys, label, source, n, hits, w): how often each type and source occurs, dealt out by the keys."""
-    counts = rows.groupBy(*keys, relation_type(F.col("relation_type")).alias("label"), "source").agg(F.count("*").alias("n"))
-    return with_source_weights(counts.repartition(*keys), p)
+    """(keys, label, source, n, hits, w): how often each type and source occurs, dealt out by the keys.
+
+    Rows are dealt out by the keys before they are counted, so that counts need no second exchange. A key's rows stream through
+    one task, which keeps a count for each of its types and sources only.
+    """
+    dealt = rows.select(*keys, relation_type(F.col("relation_type")).alias("label"), "source").repartition(*keys)
+    return with_source_weights(dealt.groupBy(*keys, "label", "source").agg(F.count("*").alias("n")), p)
 
 
 def weighted_edges(relations: DataFrame, p: SourceWeights = RELATION_SOURCES, min_count: int = 1) -> DataFrame:

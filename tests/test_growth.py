@@ -53,3 +53,11 @@ def test_components_make_their_edges_once(spark, passed):
     edges, seen = passed(rows, "u string, v string", "u")
     out = {r.entity_id: r.component for r in G.connected_components(edges).collect()}
     assert out == {f"{p}{k}": f"{p}0" for p in "xy" for k in range(10)} and seen.value == len(rows)
+
+
+def test_edges_are_dealt_out_once(spark):
+    rows = [(a, b, t, s) for a, b in (("x", "y"), ("y", "x"), ("x", "z")) for t in ("REG", "Causal") for s in ("uniprot", "unknown_src")]
+    relations = spark.createDataFrame(rows, "source_entity_id string, target_entity_id string, relation_type string, source string")
+    edges = E.weighted_edges(relations, min_count=3)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.u, r.v): r["count"] for r in edges.collect()} == {("x", "y"): 8, ("x", "z"): 4}
