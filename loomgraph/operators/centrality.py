@@ -26,7 +26,7 @@ def sources_needed(nodes: int, error: float, failure: float = 0.1) -> int:
 
 def _arcs(edges: DataFrame, weighted: bool) -> DataFrame:
     """(src, dst, len) both ways, of edges that repeat the shortest; lengths are whole or as they are given."""
-    pairs = edges.where("u <> v").groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.min("w" if weighted else F.lit(1)).alias("len"))
+    pairs = written(edges.where("u <> v").groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.min("w" if weighted else F.lit(1)).alias("len")))
     if weighted and pairs.where("len <= 0 OR len IS NULL").take(1):
         raise ValueError("lengths of edges must be above 0")
     return pairs.union(pairs.select("dst", "src", "len"))
@@ -104,7 +104,9 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, weighted: bo
     With `weighted`, w is an edge's length and must be above 0; lengths of paths are compared to `digits` places. sources
     (entity_id) estimate it from shortest paths that begin at them (see sources_needed); without, every node is one and the
     result is exact. `batch` sources are followed at a time, so that what is kept grows with nodes times batch.
+    Edges are written first, as arcs and nodes are both made of them.
     """
+    edges = written(edges.select("u", "v", *(["w"] if weighted else [])))
     arcs = written(_arcs(edges, weighted))
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct())
     n = nodes.count()
@@ -125,5 +127,5 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, weighted: bo
 
 def drawn_sources(nodes: DataFrame, error: float, failure: float = 0.1, seed: int = 1) -> DataFrame:
     """The sources (entity_id) of nodes with the smallest hashes, as many as sources_needed() says."""
-    nodes = nodes.select("entity_id").distinct()
+    nodes = written(nodes.select("entity_id").distinct())
     return nodes.orderBy(F.xxhash64(F.lit(seed), "entity_id"), "entity_id").limit(sources_needed(nodes.count(), error, failure))

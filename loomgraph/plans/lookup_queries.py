@@ -15,7 +15,7 @@ from loomgraph.operators import edges as E
 from loomgraph.operators import lookups as L
 from loomgraph.operators import quantiles as Q
 from loomgraph.plans.views import plain, view
-from loomgraph.session import checkpoint_folder
+from loomgraph.session import checkpoint_folder, written
 from loomgraph.sources import batch_files as B
 from loomgraph.sources import publish as P
 
@@ -160,5 +160,5 @@ def node_betweenness(spark, d):
 @query()
 def sampled_betweenness(spark, d):
     """Betweenness from as many sources as an error of 0.3 takes; the bound is that of sources_needed()."""
-    edges = _edges(spark, d)
+    edges = written(_edges(spark, d))
     return Y.betweenness(edges, Y.drawn_sources(edges.select(F.explode(F.array("u", "v")).alias("entity_id")), 0.3))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import centrality as Y
 from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import graph as G
@@ -61,3 +62,9 @@ def test_edges_are_dealt_out_once(spark):
     edges = E.weighted_edges(relations, min_count=3)
     assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.u, r.v): r["count"] for r in edges.collect()} == {("x", "y"): 8, ("x", "z"): 4}
+
+
+def test_betweenness_makes_its_edges_once(spark, passed):
+    edges, seen = passed(RING, "u string, v string, w double", "u")
+    out = {r.entity_id: round(r.betweenness, 6) for r in Y.betweenness(edges).collect()}
+    assert out == {"a": 0.083333, "b": 0.25, "c": 0.0, "d": 0.25, "e": 0.083333} and seen.value == 6
