@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from loomgraph.session import checkpointed
 from loomgraph.sources.publish import Store
 
-#: Files that one call names at most: each is renamed by the driver.
-MAX_FILES = 100_000
+#: Renames of files at the same time.
+RENAMES = 16
 
 
 def batched(rows: DataFrame, group: str, size: int, order: list[str]) -> DataFrame:
@@ -36,26 +37,30 @@ def batch_name(year: Column, task: str, batch: Column) -> Column:
 def write_named(rows: DataFrame, path: str, file: str, order: list[str], fmt: str = "csv", suffix: str = ".csv", **options: str) -> list[str]:
     """Write rows as one file for each value of the column `file`, in order; the files' names.
 
-    Each value's rows are one task's: it must be what a single file may hold. Spark writes the parts, and the driver
-    renames them, so that a file is there whole or not at all.
+    Each value's rows are one task's: it must be what a single file may hold. Spark writes the parts, whose tasks commit them
+    side by side into a staging folder, and the driver renames them, several at a time, so that a file is there whole or not at all.
     """
     spark, stage = rows.sparkSession, f".staged-{uuid.uuid4().hex}"
     given = {"header": "true", "escape": '"', "encoding": "UTF-8"} if fmt == "csv" else {}
+    given["mapreduce.fileoutputcommitter.algorithm.version"] = "2"
     dealt = rows.withColumn("__file", F.col(file)).repartition("__file").sortWithinPartitions("__file", *order)
     dealt.drop(*([] if fmt != "text" else [c for c in rows.columns if c != "value"])).write.partitionBy("__file").format(fmt).options(**(given | options)).save(f"{path}/{stage}")
     store = Store(spark, path)
+    old = set(store.files(""))
     folders = [f for f in store.files(stage) if f.startswith("__file=")]
-    if len(folders) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} files")
-    names = []
-    for folder in folders:
+
+    def rename(folder: str) -> str:
         parts = [p for p in store.files(f"{stage}/{folder}") if p.startswith("part-")]
         if len(parts) != 1:
             raise OSError(f"{folder} has {len(parts)} parts")
         name = f"{folder.removeprefix('__file=')}{suffix}"
-        store.remove(name)
+        if name in old:
+            store.remove(name)
         store.move(f"{stage}/{folder}/{parts[0]}", name)
-        names.append(name)
+        return name
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        names = list(pool.map(rename, folders))
     store.remove(stage)
     return names
 
