@@ -262,21 +262,21 @@ def unified_rels(spark, d):
 
 def _labelled(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).dropna(), "doc_id")
-    return docs, known.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    return docs, read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).dropna()
 
 
 @query()
 def classifier_scores(spark, d):
     """The probability of each document by a classifier that is fitted on the labelled ones."""
-    docs, known = _labelled(spark, d)
-    return C.fitted(known).transform(docs).select("doc_id", vector_to_array("probability")[1].alias("score"))
+    docs, labels = _labelled(spark, d)
+    return C.fitted(docs.join(labels, "doc_id")).transform(docs).select("doc_id", vector_to_array("probability")[1].alias("score"))
 
 
 @query()
 def classifier_folds(spark, d):
     """(fold, auc) of five folds by the hash of doc_id, each scored by a classifier of the others."""
-    return C.fold_scores(_labelled(spark, d)[1])
+    docs, labels = _labelled(spark, d)
+    return C.fold_scores(docs.join(labels, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5))))
 
 
 def _streamed(spark, d, name):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import centrality as Y
+from loomgraph.operators import classifier as C
 from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import graph as G
@@ -68,3 +69,21 @@ def test_betweenness_makes_its_edges_once(spark, passed):
     edges, seen = passed(RING, "u string, v string, w double", "u")
     out = {r.entity_id: round(r.betweenness, 6) for r in Y.betweenness(edges).collect()}
     assert out == {"a": 0.083333, "b": 0.25, "c": 0.0, "d": 0.25, "e": 0.083333} and seen.value == 6
+
+
+WORDS = [(k, f"common w{k % 7} " + ("red green blue" if k % 4 == 0 else "green red blue"), float(k % 4 == 0), k % 5) for k in range(80)]
+
+
+def test_folds_make_their_texts_twice(spark, passed):
+    """Once to count terms, once for vectors, whatever the number of folds."""
+    known, seen = passed(WORDS, "doc_id long, text string, label double, fold int", "text")
+    assert [(r.fold, r.auc) for r in C.fold_scores(known).collect()] == [(k, 1.0) for k in range(5)] and seen.value == 160
+
+
+def test_a_fold_has_a_vocabulary_of_its_own(spark):
+    """Each fold's scores are those of a model that was fitted on the texts of the others alone."""
+    rows = [(k, f"w{k % 7} v{k * k % 11} " + " ".join(f"u{(k + j) % 5}" for j in range(k % 4)), float(k % 3 == 0), k % 2) for k in range(60)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, label double, fold int")
+    measure = C.BinaryClassificationEvaluator(metricName="areaUnderROC")
+    want = [(k, round(measure.evaluate(C.fitted(known.where(f"fold <> {k}"), features=9).transform(known.where(f"fold = {k}"))), 9)) for k in (0, 1)]
+    assert [(r.fold, round(r.auc, 9)) for r in C.fold_scores(known, features=9).collect()] == want
