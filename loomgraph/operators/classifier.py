@@ -60,6 +60,13 @@ def fitted(known: DataFrame, features: int = FEATURES, iterations: int = 50) ->
     return PipelineModel([*terms, *_fitted_counts(counts, iterations)])
 
 
+def scores(docs: DataFrame, labels: DataFrame, features: int = FEATURES, iterations: int = 50) -> DataFrame:
+    """docs (doc_id, text) without text but with `probability`, by a model of those that have labels (doc_id, label)."""
+    vocabulary = _most_frequent(_term_counts(docs.join(labels, "doc_id"), n=F.count("*")), F.col("n"), features)
+    counts = written(PipelineModel(_vectorizer(vocabulary)).transform(docs).select("doc_id", "counts"))
+    return PipelineModel(_fitted_counts(counts.join(labels, "doc_id"), iterations)).transform(counts)
+
+
 def fold_scores(known: DataFrame, features: int = FEATURES, iterations: int = 50) -> DataFrame:
     """(fold, auc) of known (text, label, fold): each fold is scored by a model of the others.
 

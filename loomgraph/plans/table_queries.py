@@ -268,8 +268,7 @@ def _labelled(spark, d):
 @query()
 def classifier_scores(spark, d):
     """The probability of each document by a classifier that is fitted on the labelled ones."""
-    docs, labels = _labelled(spark, d)
-    return C.fitted(docs.join(labels, "doc_id")).transform(docs).select("doc_id", vector_to_array("probability")[1].alias("score"))
+    return C.scores(*_labelled(spark, d)).select("doc_id", vector_to_array("probability")[1].alias("score"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """What is read several times is made once: rows are counted as they pass."""
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loomgraph.operators import centrality as Y
@@ -87,3 +88,11 @@ def test_a_fold_has_a_vocabulary_of_its_own(spark):
     measure = C.BinaryClassificationEvaluator(metricName="areaUnderROC")
     want = [(k, round(measure.evaluate(C.fitted(known.where(f"fold <> {k}"), features=9).transform(known.where(f"fold = {k}"))), 9)) for k in (0, 1)]
     assert [(r.fold, round(r.auc, 9)) for r in C.fold_scores(known, features=9).collect()] == want
+
+
+def test_scores_make_their_texts_twice(spark, passed):
+    """Once to count the terms of labelled ones, once for vectors; a row of each document, labelled or not."""
+    docs, seen = passed([r[:2] for r in WORDS] + [(99, "")], "doc_id long, text string", "text")
+    labels = spark.createDataFrame([(k, y) for k, _, y, _ in WORDS], "doc_id long, label double")
+    out = {r.doc_id: r.p for r in C.scores(docs, labels).select("doc_id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert len(out) == 81 and all((out[k] >= 0.5) == (y == 1) for k, _, y, _ in WORDS) and seen.value == 162
