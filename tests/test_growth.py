@@ -96,3 +96,9 @@ def test_scores_make_their_texts_twice(spark, passed):
     labels = spark.createDataFrame([(k, y) for k, _, y, _ in WORDS], "doc_id long, label double")
     out = {r.doc_id: r.p for r in C.scores(docs, labels).select("doc_id", vector_to_array("probability")[1].alias("p")).collect()}
     assert len(out) == 81 and all((out[k] >= 0.5) == (y == 1) for k, _, y, _ in WORDS) and seen.value == 162
+
+
+def test_best_names_make_their_relations_once(spark, passed):
+    rows = [("a", "b", "A", "B"), ("b", "a", "B", "A"), ("a", "c", "alpha", ""), ("c", "b", None, "bee"), ("d", "d", "x", "y"), (None, "", "n", "m")]
+    relations, seen = passed(rows, "source_entity_id string, target_entity_id string, source_entity_name string, target_entity_name string", "source_entity_name")
+    assert {r.entity_id: r.best_name for r in E.best_names(relations).collect()} == {"a": "A", "b": "B", "d": "x"} and seen.value == len(rows)
