@@ -141,13 +141,17 @@ def _rrf(df: DataFrame, name: str, width: int, columns: dict[int, str]) -> str:
     return _written(df.select(F.concat(F.concat_ws("|", *cells), F.lit("|")).alias("value")), name, "text")
 
 
+def _conso(spark, d):
+    line = _table(spark, d, "lineitem")
+    conso = _rrf(line, "MRCONSO.RRF", 18, {0: "'C' || l_partkey", 1: "CASE WHEN l_suppkey % 7 = 0 THEN 'FRE' ELSE 'ENG' END", 11: "'MSH'", 12: "CASE l_linenumber WHEN 1 THEN 'PT' WHEN 2 THEN 'PF' WHEN 3 THEN 'PN' ELSE 'SY' END", 14: "' Name \"' || l_suppkey || ' '"})
+    return S.read_rrf(spark, conso, {0: "cui", 1: "lat", 11: "sab", 12: "tty", 14: "str"})
+
+
 def _umls(spark, d):
     line, part = _table(spark, d, "lineitem"), _table(spark, d, "part")
-    conso = _rrf(line, "MRCONSO.RRF", 18, {0: "'C' || l_partkey", 1: "CASE WHEN l_suppkey % 7 = 0 THEN 'FRE' ELSE 'ENG' END", 11: "'MSH'", 12: "CASE l_linenumber WHEN 1 THEN 'PT' WHEN 2 THEN 'PF' WHEN 3 THEN 'PN' ELSE 'SY' END", 14: "' Name \"' || l_suppkey || ' '"})
     sty = _rrf(part, "MRSTY.RRF", 6, {0: "'C' || p_partkey", 1: "'T' || p_size", 3: "p_type"})
     definition = _rrf(line.where("l_linenumber < 3"), "MRDEF.RRF", 8, {0: "'C' || l_partkey", 4: "CASE l_suppkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'NCI' END", 5: "'Definition ' || l_suppkey"})
-    conso = S.read_rrf(spark, conso, {0: "cui", 1: "lat", 11: "sab", 12: "tty", 14: "str"})
-    return S.umls_nodes(conso, S.read_rrf(spark, sty, {0: "cui", 1: "tui", 3: "semantic_type"}), S.read_rrf(spark, definition, {0: "cui", 4: "sab", 5: "def"}))
+    return S.umls_nodes(_conso(spark, d), S.read_rrf(spark, sty, {0: "cui", 1: "tui", 3: "semantic_type"}), S.read_rrf(spark, definition, {0: "cui", 4: "sab", 5: "def"}))
 
 
 _UMLS = """WITH n AS (SELECT 'C' || l_partkey AS cui, CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS r, 'Name "' || l_suppkey AS s FROM lineitem WHERE l_suppkey % 7 <> 0),
@@ -168,7 +172,7 @@ SELECT a AS source_entity_ref_id, b AS target_entity_ref_id, rel_type, 'MSH' AS
 FROM r LEFT JOIN nodes x ON a = x.entity_ref_id LEFT JOIN nodes y ON b = y.entity_ref_id""")
 def src_umls_relations(spark, d):
     rel = _rrf(_table(spark, d, "lineitem"), "MRREL.RRF", 16, {0: "'C' || l_partkey", 3: "'RB'", 4: "'C' || l_suppkey", 7: "CASE WHEN l_linenumber > 2 THEN 'isa' END", 10: "'MSH'"})
-    return S.umls_relations(S.read_rrf(spark, rel, {0: "cui1", 3: "rel", 4: "cui2", 7: "rela", 10: "sab"}), _umls(spark, d))
+    return S.umls_relations(S.read_rrf(spark, rel, {0: "cui1", 3: "rel", 4: "cui2", 7: "rela", 10: "sab"}), S.umls_names(_conso(spark, d)))
 
 
 def _graph(spark, d):

@@ -9,6 +9,7 @@ from loomgraph.operators import classifier as C
 from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import graph as G
+from loomgraph.sources import standard as S
 
 
 @pytest.fixture
@@ -102,3 +103,12 @@ def test_best_names_make_their_relations_once(spark, passed):
     rows = [("a", "b", "A", "B"), ("b", "a", "B", "A"), ("a", "c", "alpha", ""), ("c", "b", None, "bee"), ("d", "d", "x", "y"), (None, "", "n", "m")]
     relations, seen = passed(rows, "source_entity_id string, target_entity_id string, source_entity_name string, target_entity_name string", "source_entity_name")
     assert {r.entity_id: r.best_name for r in E.best_names(relations).collect()} == {"a": "A", "b": "B", "d": "x"} and seen.value == len(rows)
+
+
+def test_umls_relations_make_their_names_once(spark, passed):
+    """Names of a kind alone are grouped; both ends read the same written names."""
+    rows = [("C1", "ENG", "PT", " one "), ("C1", "ENG", "PN", "uno"), ("C2", "ENG", "SY", "two"), ("C3", "FRE", "PT", "trois"), ("C3", "ENG", "PN", "three")]
+    names, seen = passed(rows, "cui string, lat string, tty string, str string", "str")
+    relations = spark.createDataFrame([("C1", "RB", "C3", "isa", "MSH")] * 2 + [("C3", "RB", "C2", None, "MSH")], "cui1 string, rel string, cui2 string, rela string, sab string")
+    out = {(r.source_entity_name, r.rel_type, r.target_entity_name) for r in S.umls_relations(relations, S.umls_names(names)).collect()}
+    assert out == {("uno", "isa", "three"), ("three", "RB", None)} and seen.value <= len(rows)
