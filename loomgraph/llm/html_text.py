@@ -16,6 +16,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
+from functools import lru_cache
 from itertools import chain
 from math import isqrt
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BROADCAST_IDS, checkpointed, map_columns
+from loomgraph.llm.common import BROADCAST_IDS, checkpointed, map_columns, written
 
 #: Elements by kind. Fixed values.
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -33,6 +34,8 @@ RAW = ["script", "style", "template", "svg", "iframe", "textarea", "select", "ti
 CLOSES_P = BLOCKS - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONTAINERS = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "main", "nav", "aside"}
+#: What an element that opens closes, and within which elements.
+ENDS = {name: [x for x in (({"p"} if name in CLOSES_P else set(), CONTAINERS), (SIBLINGS.get(name, set()), CONTAINERS - {"div", "section"})) if x[0]] for name in BLOCKS}
 OUTSIDE = set("nav header footer aside form dialog menu button fieldset".split())
 OUTSIDE_WORDS = set("nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsor sponsored promo comment comments reply replies respond share sharing social related newsletter subscribe signup login breadcrumb breadcrumbs pagination pager widget popup modal disqus".split())
 INSIDE_WORDS = set("article main content post entry story text body".split())
@@ -47,12 +50,17 @@ CELLS: int | None = None
 #: Elements below each other at most, as in browsers; deeper ones are read as part of the last one.
 DEPTH = 512
 
+#: Labels that a worker keeps, so that it doesn't make them again for each page, and the longest attributes kept with them.
+KEPT, KEPT_LENGTH = 4096, 2000
+
 #: Different pages with a path that tell a template text from others, at least, and hundredths of them that have it.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 90
 #: Hundredths of the differing text that an element holds which is never outside, whatever its name and words.
 HOLDS_MOST = 80
 
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9]*)")
+#: Text and a tag with neither `<` nor `>` in its quotes. A try that fails ends at the tag's next `<`.
+_PLAIN = re.compile(r"""([^<]*+)<(/?)([a-zA-Z][a-zA-Z0-9]*+)([^<>"']*+(?:(?:"[^<>"]*+"|'[^<>']*+')[^<>"']*+)*+)>""")
 _INSIDE = re.compile("[^>\"']*")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -64,6 +72,10 @@ def label(name: str, rest: str) -> str:
     return ".".join([name, *sorted(marks)])
 
 
+_kept_label = lru_cache(KEPT)(label)
+
+
+@lru_cache(KEPT)
 def outside(mark: str) -> bool:
     name, *words = mark.split(".")
     return name not in ("html", "body") and (name in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(words))
@@ -78,6 +90,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     at, n = 0, len(page)
     outside: list[tuple[int, int]] = []  # of the tag that lacked a quote's end: its stretches outside quotes, which all lack it
     while at < n:
+        if m := _PLAIN.match(page, at):
+            text, closes, name, rest = m.groups()
+            if text:
+                yield "#", text, ""
+            name, at = name.lower(), m.end()
+            if name in _RAW_END and not closes:
+                close = _RAW_END[name].search(page, at)
+                at = close.end() if close else n
+                continue
+            yield ">" if closes else "<", name, rest
+            continue
         start = page.find("<", at)
         if start < 0:
             yield "#", page[at:], ""
@@ -128,51 +151,50 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 def events(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool]]:
     """("<" | ">" | "#", path of labels, text, whether in a link) of a page; unclosed elements end where they must."""
-    stack: list[str] = []
+    paths: list[tuple[str, ...]] = [()]
     names: list[str] = []
     deeper: Counter = Counter()
     link = 0
     for kind, name, rest in tokens(page):
         if kind == "#":
-            yield "#", tuple(stack), name, link > 0
+            yield "#", paths[-1], name, link > 0
             continue
         if name not in BLOCKS:
             if name == "a":
                 link = 0 if kind == ">" else 1
             elif name in VOID:
-                yield "#", tuple(stack), " ", False
+                yield "#", paths[-1], " ", False
             continue
         if kind == ">":
             if deeper[name]:
                 deeper[name] -= 1
-                yield "#", tuple(stack), " ", False
+                yield "#", paths[-1], " ", False
             elif name in names:
                 while True:
                     link = 0
-                    yield ">", tuple(stack), "", False
-                    stack.pop()
+                    yield ">", paths.pop(), "", False
                     if names.pop() == name:
                         break
             continue
-        for closed, bounds in ((({"p"} if name in CLOSES_P else set()), CONTAINERS), (SIBLINGS.get(name, set()), CONTAINERS - {"div", "section"})):
-            k = next((k for k in range(len(names) - 1, -1, -1) if names[k] in closed or names[k] in bounds), -1)
+        for closed, bounds in ENDS[name]:
+            k = len(names) - 1
+            while k >= 0 and names[k] not in closed and names[k] not in bounds:
+                k -= 1
             if k < 0 or names[k] not in closed:
                 continue
             while len(names) > k:
-                yield ">", tuple(stack), "", False
-                stack.pop()
+                yield ">", paths.pop(), "", False
                 names.pop()
-        if len(stack) >= DEPTH:
+        if len(names) >= DEPTH:
             deeper[name] += name not in VOID
-            yield "#", tuple(stack), " ", False
+            yield "#", paths[-1], " ", False
             continue
-        stack.append(label(name, rest))
+        paths.append((*paths[-1], _kept_label(name, rest) if len(rest) <= KEPT_LENGTH else label(name, rest)))
         names.append(name)
         link = 0
-        yield "<", tuple(stack), "", False
+        yield "<", paths[-1], "", False
         if name in VOID:
-            yield ">", tuple(stack), "", False
-            stack.pop()
+            yield ">", paths.pop(), "", False
             names.pop()
 
 
@@ -188,7 +210,8 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], str, int, int]]:
         if kind == "#":
             parts.append(text)
             at = path
-            chars += (n := len(text.strip()))
+            n = len(text.strip())
+            chars += n
             links += n * link
             continue
         if parts:
@@ -203,17 +226,53 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "replace")) - 2**63
 
 
-def stream(page: str, frequent: Container[int] = ()) -> list[str]:
-    """Opened labels, `>`, and for each text `=` and its hash if that is frequent, else `#`."""
+def marks(page: str) -> tuple[list[str], list[tuple[int, int, int, int]], int]:
+    """A page's opened labels, `>`, and `#` for each text; of each text the hashes of its path and of both, its characters, and
+    those in links; and a hash of all texts. All that the wrappers of a host need of a page, so that it is read once for them."""
     out: list[str] = []
-    for kind, path, text, *_ in blocks(page):
-        if kind == "#":
-            out.append(f"={k}" if frequent and (k := _hash(*path, text)) in frequent else "#")
-        else:
+    texts: list[tuple[int, int, int, int]] = []
+    whole: list[str] = []
+    hashes: dict[tuple[str, ...], int] = {}
+    for kind, path, text, chars, links in blocks(page):
+        if kind != "#":
             out.append(f"<{path[-1]}" if kind == "<" else ">")
+            continue
+        out.append("#")
+        whole.append(text)
+        if path not in hashes:
+            hashes[path] = _hash(*path)
+        texts.append((hashes[path], _hash(*path, text), chars, links))
+    return out, texts, _hash(*whole)
+
+
+def paths_of(marks: list[str]) -> list[tuple[str, ...]]:
+    """The path of each text of a page's marks."""
+    out: list[tuple[str, ...]] = []
+    paths: list[tuple[str, ...]] = [()]
+    for x in marks:
+        if x == "#":
+            out.append(paths[-1])
+        elif x == ">":
+            paths.pop()
+        else:
+            paths.append((*paths[-1], x[1:]))
     return out
 
 
+def with_texts(marks: list[str], texts: list[int], frequent: Container[int]) -> list[str]:
+    """marks where a text is `=` and its hash if that is frequent."""
+    if not frequent:
+        return marks
+    each = iter(texts)
+    return [f"={k}" if x == "#" and (k := next(each)) in frequent else x for x in marks]
+
+
+def stream(page: str, frequent: Container[int] = ()) -> list[str]:
+    """Opened labels, `>`, and for each text `=` and its hash if that is frequent, else `#`."""
+    found, texts, _ = marks(page)
+    return with_texts(found, [k for _, k, *_ in texts], frequent)
+
+
 def folded(items: list) -> list:
     """items with adjacent repeats as ["+", group]; items are tokens, or ["+" | "?", group]."""
     size = 1
@@ -369,18 +428,22 @@ def wrapper_of(streams: list[str]) -> str:
     return json.dumps(out or [])
 
 
-def _slots(page: str, frequent: Container[int] = ()) -> dict[tuple[tuple[str, ...], int], list[int]]:
-    """Of each path with text, and each frequent text there (else 0): characters, and those in links."""
-    found: dict[tuple[tuple[str, ...], int], list[int]] = {}
-    for kind, path, text, chars, links in blocks(page):
-        if kind == "#":
-            k = _hash(*path, text) if frequent else 0
-            x = found.setdefault((path, k if k in frequent else 0), [0, 0])
-            x[0] += chars
-            x[1] += links
+def slots_of(paths: list, texts: list[tuple[int, int, int]], frequent: Container[int] = ()) -> dict[tuple, list[int]]:
+    """Of each path with text, and each frequent text there (else 0): characters, and those in links; texts are (hash, characters,
+    those in links) in the order of their paths."""
+    found: dict[tuple, list[int]] = {}
+    for path, (k, chars, links) in zip(paths, texts, strict=True):
+        x = found.setdefault((path, k if k in frequent else 0), [0, 0])
+        x[0] += chars
+        x[1] += links
     return found
 
 
+def _slots(page: str, frequent: Container[int] = ()) -> dict[tuple[tuple[str, ...], int], list[int]]:
+    found, texts, _ = marks(page)
+    return slots_of(paths_of(found), [x[1:] for x in texts], frequent)
+
+
 def template_texts(wrapper: str) -> set[int]:
     """Hashes of the texts of a wrapper, those of its groups included."""
 
@@ -461,8 +524,11 @@ def main_text(page: str | None, container: tuple[str, ...], template: Container[
     if not inside:
         own = main_container({p: x for (p, _), x in _slots(page).items()})
         return main_text(page, own, template) if own and own != container else ""
-    if template and (kept := [k for k, (path, text) in enumerate(inside) if _hash(*path, text) not in template]):
-        inside = inside[kept[0] : kept[-1] + 1]
+    if template:
+        own = lambda k: _hash(*inside[k][0], inside[k][1]) not in template
+        first = next(filter(own, range(len(inside))), None)
+        if first is not None:
+            inside = inside[first : next(filter(own, range(len(inside) - 1, -1, -1))) + 1]
     return "\n".join(text for _, text in inside)
 
 
@@ -487,31 +553,37 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     own = own.withColumn("host", F.coalesce(host, F.lit("")))
 
     def read(hosts: list, texts: list) -> dict:
-        found = [[(p, x) for kind, p, x, *_ in blocks(t or "") if kind == "#"] for t in texts]
-        return {
-            "host": hosts,
-            "page": [_hash(*(x for _, x in f)) for f in found],
-            "texts": [[{"path": p, "text": k} for p, k in {(_hash(*p), _hash(*p, x)) for p, x in f}] for f in found],
-        }
-
-    # equal pages count once
-    read_texts = map_columns(own.select("host", "html"), read, "host string, page long, texts array<struct<path:bigint,text:bigint>>")
-    each = checkpointed(read_texts.select("host", "page", F.explode("texts").alias("t")).select("host", "page", "t.*").distinct())
+        out: dict = {"host": hosts, "page": [], "marks": [], "texts": []}
+        for t in texts:
+            found, own, whole = marks(t or "")
+            for column, x in zip(("page", "marks", "texts"), (whole, " ".join(found), own), strict=True):
+                out[column].append(x)
+        return out
+
+    # pages are read once for all that wrappers need of them; equal pages count once
+    shapes = written(map_columns(own.select("host", "html"), read, "host string, page long, marks string, texts array<struct<path:bigint,text:bigint,chars:bigint,links:bigint>>"), "shapes")
+    each = written(shapes.select("host", "page", F.explode("texts").alias("t")).select("host", "page", "t.path", "t.text").distinct(), "texts")
     paths = each.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
     often = each.groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(100 * F.col("n") >= TEMPLATE_SHARE * TEMPLATE_PAGES).join(paths, ["host", "path"]).where(100 * F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
     frequent = checkpointed(often.groupBy("host").agg(F.collect_list("text").alias("frequent")))
 
-    def reduce(hosts: list, texts: list, frequent: list) -> dict:
-        given = list(map(frozenset, (f or () for f in frequent)))
-        slots = [_slots(t or "", f) for t, f in zip(texts, given, strict=True)]
-        return {
-            "host": hosts,
-            "stream": [json.dumps(folded(stream(t or "", f))) for t, f in zip(texts, given, strict=True)],
-            "slots": [[{"path": json.dumps(p), "text": k, "chars": c, "links": n} for (p, k), (c, n) in s.items()] for s in slots],
-        }
-
-    with_frequent = _with_host(own.select("host", "html"), frequent, "frequent").select("host", "html", "frequent")
-    seen = checkpointed(map_columns(with_frequent, reduce, "host string, stream string, slots array<struct<path:string,text:bigint,chars:bigint,links:bigint>>"))
+    def reduce(hosts: list, marks: list, texts: list, frequent: list) -> dict:
+        streams, slots, sets, read, fold = [], [], {}, {}, {}
+        for host, m, own, often in zip(hosts, marks, texts, frequent, strict=True):
+            if host not in sets:
+                sets[host] = frozenset(often or ())
+            if m not in read:
+                split = m.split()
+                read[m] = split, list(map(json.dumps, paths_of(split)))
+            found = " ".join(with_texts(read[m][0], [t["text"] for t in own], sets[host]))
+            if found not in fold:
+                fold[found] = json.dumps(folded(found.split()))
+            streams.append(fold[found])
+            slots.append([(p, k, c, n) for (p, k), (c, n) in slots_of(read[m][1], [(t["text"], t["chars"], t["links"]) for t in own], sets[host]).items()])
+        return {"host": hosts, "stream": streams, "slots": slots}
+
+    with_frequent = _with_host(shapes, frequent, "frequent").select("host", "marks", "texts", "frequent")
+    seen = written(map_columns(with_frequent, reduce, "host string, stream string, slots array<struct<path:string,text:bigint,chars:bigint,links:bigint>>"), "slots")
     slots = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.text").agg(F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"))
     streams = seen.select("host", "stream").distinct()
     groups = streams.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / STREAMS).alias("groups"))

@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from loomgraph.llm import html_text
 from loomgraph.llm.html_text import aligned, folded, host_container, main_text, page_texts, stream, template_texts, tokens, wrapper_of
 
@@ -145,3 +147,26 @@ def test_one_odd_page_changes_no_other(spark):
     for k, n in enumerate(names):
         if k != 7:
             assert got[k] == f"Title {n}\nStory {n} has words of its own, {n}."
+
+
+def test_pages_are_read_once_for_the_wrappers_and_once_for_the_texts(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(value):
+        seen.add(1)
+        return value
+
+    rows = [(k, f"http://h{k % 2}.net/{k}", PAGE.replace("{k}", str(k))) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = page_texts(pages.withColumn("html", F.udf(count, "string").asNondeterministic()("html"))).collect()
+    assert all(r.text.startswith(f"T{r.page_id} & more\n") for r in got)
+    assert seen.value == 2 * len(rows)
+
+
+def test_marks_hold_what_a_page_is_reduced_to():
+    page = "<body><div id=a><p>x</p><p>x <a href=/>link</a></div><div id=a><p>y</body>"
+    found, texts, _ = html_text.marks(page)
+    frequent = {k for _, k, *_ in texts[:1]}
+    assert found == stream(page) and html_text.with_texts(found, [k for _, k, *_ in texts], frequent) == stream(page, frequent)
+    assert [p[-2:] for p in html_text.paths_of(found)] == [("div.a", "p")] * 3
+    assert sorted(html_text._slots(page, frequent).values()) == [[1, 0], [6, 4]] and len(html_text._slots(page)) == 1
