@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scoring import min_max, recency, with_source_weights
+from loomgraph.functions.scoring import lookup, min_max, recency, with_source_weights
 from loomgraph.functions.text import bad_name, clean_entity_name
 from loomgraph.operators import first_per, ranked, require_columns
 from loomgraph.operators.quantiles import at_least_quantile
@@ -13,16 +13,57 @@ from loomgraph.params import CLASSES, ENTITY_SOURCES, ENTITY_WEIGHTS, QUALITY_WE
 from loomgraph.session import written
 
 
+#: Different sources whose weights are broadcast at most; beyond that, the rules run on each row.
+BROADCAST_SOURCES = 100_000
+#: Decimals of a sum of weights: short decimals stay what they are, so that shares of equal sums are equal.
+DIGITS = 12
+
+
+def _bits(p: SourceWeights) -> list[dict[str, int]]:
+    """A bit for each key, 63 a number."""
+    keys = p.keys()
+    return [{k: 1 << i for i, k in enumerate(keys[start : start + 63])} for start in range(0, len(keys), 63)]
+
+
+def _with_rules(df: DataFrame, p: SourceWeights) -> DataFrame:
+    """df with w, no_hit, and the hit keys as bits hit_0, hit_1, ... by the source rules."""
+    mask = lambda of: F.aggregate("hits", F.lit(0).cast("long"), lambda m, h: m.bitwiseOR(F.coalesce(F.try_element_at(lookup(of), h), F.lit(0)).cast("long")))
+    return with_source_weights(df, p).withColumns({"no_hit": F.size("hits") == 0, **{f"hit_{i}": mask(of) for i, of in enumerate(_bits(p))}}).drop("hits")
+
+
+def _ruled(rows: DataFrame, p: SourceWeights) -> DataFrame:
+    """_with_rules() of rows, which must be cheap to read twice: the rules run once for each different source."""
+    sources = written(rows.select("source").distinct().limit(BROADCAST_SOURCES + 1))
+    if sources.count() > BROADCAST_SOURCES:
+        return _with_rules(rows, p)
+    return rows.join(F.broadcast(_with_rules(sources, p)), "source")
+
+
+def _weights_by_type(rows: DataFrame, p: SourceWeights) -> DataFrame:
+    """(entity_id, entity_type, evidence_count, sources_unique, weight_sum, weight_max, default_hits) of _ruled() rows.
+
+    Rows are counted by their weight, of which there are few: so sums don't depend on the rows' order, and what a task keeps of a
+    type has one size, whatever its sources.
+    """
+    weights, hits = sorted({*p.weights.values(), p.default}), [f"hit_{i}" for i in range(len(_bits(p)))]
+    counts = [F.count_if(F.col("w") == w).alias(f"n_{i}") for i, w in enumerate(weights)]
+    out = rows.groupBy("entity_id", "entity_type").agg(*counts, F.count_if("no_hit").alias("default_hits"), *(F.bit_or(h).alias(h) for h in hits))
+    n = [(F.col(f"n_{i}"), F.lit(w)) for i, w in enumerate(weights)]
+    return out.select(
+        "entity_id", "entity_type", sum((c for c, _ in n), F.lit(0)).cast("long").alias("evidence_count"), sum((F.bit_count(h) for h in hits), F.lit(0)).cast("long").alias("sources_unique"),
+        F.round(sum((c * w for c, w in n), F.lit(0.0)), DIGITS).alias("weight_sum"), F.coalesce(*(F.when(c > 0, w) for c, w in n[::-1])).alias("weight_max"), "default_hits",
+    )
+
+
 def type_weights(types: DataFrame, p: SourceWeights = ENTITY_SOURCES) -> DataFrame:
-    """Weights of each (entity_id, entity_type), their share of the entity, and the type's rank in it."""
+    """Weights of each (entity_id, entity_type), their share of the entity, and the type's rank in it.
+
+    types are written first, as they are read for their sources and then for their weights.
+    """
     require_columns(types, "entity_id", "entity_type", "source")
-    counts = types.dropna(subset=["entity_id", "entity_type"]).groupBy("entity_id", "entity_type", "source").agg(F.count("*").alias("n"))
-    part = with_source_weights(counts.repartition("entity_id"), p)  # a row each type and source: what follows needs no other exchange
-    out = part.groupBy("entity_id", "entity_type").agg(
-        F.sum("n").alias("evidence_count"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("sources_unique"), F.sum(F.col("n") * F.col("w")).alias("weight_sum"),
-        F.max("w").alias("weight_max"), F.sum(F.when(F.size("hits") == 0, F.col("n")).otherwise(0)).alias("default_hits"),
-    )
-    total = F.sum("weight_sum").over(Window.partitionBy("entity_id"))
+    rows = types.select("entity_id", "entity_type", F.coalesce("source", F.lit("")).alias("source")).dropna(subset=["entity_id", "entity_type"])
+    out = _weights_by_type(_ruled(written(rows), p), p)
+    total = F.round(F.sum("weight_sum").over(Window.partitionBy("entity_id")), DIGITS)
     out = out.withColumns({"weight_mean": F.col("weight_sum") / F.col("evidence_count"), "any_default": F.col("default_hits") > 0, "weight_total_entity": total})
     out = out.withColumn("weight_norm", F.when(F.col("weight_total_entity") > 0, F.col("weight_sum") / F.col("weight_total_entity")).otherwise(0.0))
     # sums of doubles depend on their order: equal weights must tie

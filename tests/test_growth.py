@@ -1,5 +1,8 @@
 """What is read several times is made once: rows are counted as they pass."""
 
+import math
+import random
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from loomgraph.operators import classifier as C
 from loomgraph.operators import edges as E
 from loomgraph.operators import entities as N
 from loomgraph.operators import graph as G
+from loomgraph.params import SourceWeights
 from loomgraph.sources import standard as S
 
 
@@ -112,3 +116,33 @@ def test_umls_relations_make_their_names_once(spark, passed):
     relations = spark.createDataFrame([("C1", "RB", "C3", "isa", "MSH")] * 2 + [("C3", "RB", "C2", None, "MSH")], "cui1 string, rel string, cui2 string, rela string, sab string")
     out = {(r.source_entity_name, r.rel_type, r.target_entity_name) for r in S.umls_relations(relations, S.umls_names(names)).collect()}
     assert out == {("uno", "isa", "three"), ("three", "RB", None)} and seen.value <= len(rows)
+
+
+def test_source_rules_run_once_for_each_source(spark, monkeypatch):
+    """However many entities and types name a source; beyond the bound for a broadcast, on each row, with the same result."""
+    given, rules = [], N.with_source_weights
+    monkeypatch.setattr(N, "with_source_weights", lambda df, p: (given.append(df.count()), rules(df, p))[1])
+    sources = ["uniprot;bert_model_prediction", "nothing known", None]
+    types = spark.createDataFrame([(f"P{k % 9}", "BMC" if k % 2 else "EGR", sources[k % 3]) for k in range(90)], "entity_id string, entity_type string, source string")
+    few = sorted(N.type_weights(types).collect())
+    monkeypatch.setattr(N, "BROADCAST_SOURCES", 2, raising=False)
+    assert sorted(N.type_weights(types).collect()) == few and given == [3, 90]
+
+
+def test_weights_of_many_keys_equal_a_loop(spark):
+    """Keys of several numbers of bits, and sums that don't depend on the order of the rows."""
+    p = SourceWeights({f"key{k:03d}": (k % 7 + 1) / 10 for k in range(150)}, {}, 0.05)
+    r = random.Random(5)
+    rows = [(f"P{k % 4}", f"T{k % 3}", ";".join(f"key{r.randrange(160):03d}" for _ in range(k % 3 + 1))) for k in range(3000)]
+    want = {}
+    for entity, kind, source in rows:
+        hits = {k for k in source.split(";") if k in p.weights}
+        n, keys, weights, defaults = want.get((entity, kind), (0, set(), [], 0))
+        want[entity, kind] = n + 1, keys | hits, [*weights, max((p.weights[k] for k in hits), default=p.default)], defaults + (not hits)
+    columns = ["entity_id", "entity_type", "evidence_count", "sources_unique", "weight_sum", "weight_max", "default_hits"]
+    got = [N.type_weights(spark.createDataFrame(x, "entity_id string, entity_type string, source string"), p).select(columns).collect() for x in (rows, rows[::-1])]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == len(want) == 12
+    for x in got[0]:
+        n, keys, weights, defaults = want[x.entity_id, x.entity_type]
+        assert (x.evidence_count, x.sources_unique, x.weight_max, x.default_hits) == (n, len(keys), max(weights), defaults)
+        assert x.weight_sum == pytest.approx(math.fsum(weights), rel=1e-14) and len(keys) > 63
